@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, token_files, url_filters
+from . import decontaminate, language_id, merkle, near_dedup, token_files, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op6_document_fingerprints": merkle.op6_document_fingerprints,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op10_token_binary": token_files.op10_token_binary,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op6_document_fingerprints": merkle.ORACLE_SQL,
     "op7_url_filters": url_filters.ORACLE_SQL,
+    "op8_minhash_near_dedup": near_dedup.ORACLE_SQL,
 }
