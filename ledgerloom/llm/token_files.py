@@ -87,6 +87,11 @@ class ByteBpe:
             return np.frombuffer(self.whole(text), "<u4")
 
 
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids that `encode` gave."""
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+
+
 _LOADED: dict[str, ByteBpe] = {}
 
 
