@@ -72,24 +72,26 @@ def slices(batch: pa.RecordBatch, columns: list[str], limit: int = SLICE_BYTES)
     yield from slices(batch.slice(half), columns, limit)
 
 
-def append_columns(df: DataFrame, fields: T.StructType, inputs: list[str], make: Callable[[], Callable[..., list]], limit: int = SLICE_BYTES) -> DataFrame:
+def append_columns(df: DataFrame, fields: T.StructType, inputs: list[str], make: Callable[[], Callable[..., list]], limit: int = SLICE_BYTES, arrow: bool = False) -> DataFrame:
     """Row-wise stage in Arrow batches: all columns of df, then `fields`.
 
-    `make()` runs once in each task and returns a function from the input columns (as Python lists) to one list for each field.
+    `make()` runs once in each task and returns a function from the input columns (as Python lists, or Arrow arrays with `arrow`)
+    to one list for each field.
     A column of df that has the name of a field is replaced, so clashing names never make two columns.
     """
     taken = {f.name for f in fields}
     keep = [f for f in df.schema if f.name not in taken]
     schema = T.StructType([*keep, *fields])
-    names, arrow = [f.name for f in keep], to_arrow_schema(fields)
+    names, made = [f.name for f in keep], to_arrow_schema(fields)
     columns = [f.name for f in df.schema]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for part in slices(batch, inputs, limit):
-                out = work(*(part.column(columns.index(c)).to_pylist() for c in inputs))
-                arrays = [part.column(columns.index(c)) for c in names] + [pa.array(x, t.type) for x, t in zip(out, arrow, strict=True)]
+                given = [part.column(columns.index(c)) for c in inputs]
+                out = work(*(given if arrow else (x.to_pylist() for x in given)))
+                arrays = [part.column(columns.index(c)) for c in names] + [pa.array(x, t.type) for x, t in zip(out, made, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
     return df.mapInArrow(run, schema)

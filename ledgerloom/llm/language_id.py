@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import math
+import itertools
 import re
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, table
+from .common import Scratch, append_columns, slices, table
 
 #: Labelled documents that the model is fitted on, about: a hash of the id picks them where there are more.
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 8_000
 #: Words and n-grams (of each length) kept for a language, the commonest first: the model's size bound, so it can be broadcast.
 TOP_WORDS, TOP_GRAMS = 50_000, 5_000
 MAX_GRAM, MAX_LANGS = 5, 200
@@ -23,7 +25,8 @@ MAX_GRAM, MAX_LANGS = 5, 200
 ALPHA = 0.5
 #: Letters of a word that count; a longer run of letters is cut into words of this length.
 LONGEST = 64
-CACHE_WORDS = 300_000
+#: Tokens whose scores a worker remembers, and bytes of those.
+CACHE_TOKENS, CACHE_BYTES = 600_000, 128 << 20
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -44,36 +47,63 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """grams[n]: log frequency for each language of n-grams; n = 0 are whole words."""
+    """Rows of `scores`: log frequencies in each language. events[n] gives the row of an n-gram; n = 0 are whole words."""
 
     langs: list[str]
-    grams: dict[int, dict[str, np.ndarray]] = field(default_factory=dict)
+    events: dict[int, dict[str, int]] = field(default_factory=dict)
+    scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
-    def of_word(self, word: str) -> np.ndarray:
-        """Log frequency in each language; of an unseen word the mean over its longest n-grams of which any is known."""
-        known = self.grams.get(0, {}).get(word)
+    def rows_of(self, word: str) -> list[int]:
+        """The word's row; of an unseen word those of its longest n-grams of which any is known, whose mean is its score."""
+        known = self.events.get(0, {}).get(word)
         if known is not None:
-            return known
+            return [known]
         for n in range(MAX_GRAM, 0, -1):
-            held = self.grams.get(n, {})
-            found = [held[g] for g in grams_of(word, n) if g in held]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+            held = self.events.get(n)
+            if held and (found := [held[g] for g in grams_of(word, n) if g in held]):
+                return found
+        return []
+
+    def of_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(scores of each token, the sum over its words; whether it has letters)."""
+        rows, shares, owners, letters = [], [], [], np.zeros(len(tokens), bool)
+        for i, token in enumerate(tokens):
+            for word in words_of(token):
+                letters[i] = True
+                found = self.rows_of(word)
+                rows += found
+                owners += [i] * len(found)
+                shares += [1 / len(found)] * len(found)
+        out = np.zeros((len(tokens), len(self.langs)))
+        if rows:
+            picked = self.scores[rows] * np.array(shares)[:, None]
+            heads = np.flatnonzero(np.diff(owners, prepend=-1))
+            out[np.array(owners)[heads]] = np.add.reduceat(picked, heads, axis=0)
+        return out, letters
 
 
 def fit(counts: dict[int, dict[str, Counter]]) -> Model:
     """counts[n][lang]: occurrences. Log frequencies are smoothed by ALPHA over the kept events of that length."""
     langs = sorted({lang for c in counts.values() for lang in c})
-    model = Model(langs)
-    for n, by_lang in counts.items():
-        events = sorted({e for c in by_lang.values() for e in c})
-        total = [sum(by_lang.get(lang, {}).values()) + ALPHA * len(events) for lang in langs]
-        model.grams[n] = {e: np.array([math.log((by_lang.get(lang, {}).get(e, 0) + ALPHA) / t) for lang, t in zip(langs, total, strict=True)]) for e in events}
+    model, blocks, at = Model(langs), [], 0
+    for n, by_lang in sorted(counts.items()):
+        names = sorted({e for c in by_lang.values() for e in c})
+        held = np.array([[by_lang.get(lang, {}).get(e, 0) + ALPHA for lang in langs] for e in names])
+        model.events[n] = {e: at + i for i, e in enumerate(names)}
+        blocks.append(np.log(held / held.sum(0)))
+        at += len(names)
+    model.scores = np.concatenate(blocks) if blocks else np.zeros((0, 0))
     return model
 
 
-_COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("event", T.StringType()), T.StructField("count", T.LongType())])
+_COUNTS = "lang string, n int, event string, count long"
+_ARROW = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("event", pa.string()), ("count", pa.int64())])
+
+
+def _flat(rows):
+    """Batches of counted events."""
+    while part := list(itertools.islice(rows, 50_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS) -> Model:
@@ -90,34 +120,34 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     if total > max_docs:
         rows = rows.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30)) < int(max_docs / total * (1 << 30)))
 
-    def count(batches):
-        import pyarrow as pa
-
-        from .common import slices
-
-        held: dict[tuple[str, int], Counter] = {}
-
-        def flush():
-            flat = [(lang, n, e, c) for (lang, n), x in held.items() for e, c in x.items()]
-            held.clear()
-            for i in range(0, len(flat), 50_000):
-                yield pa.RecordBatch.from_pydict(dict(zip(_COUNTS.names, (list(x) for x in zip(*flat[i : i + 50_000], strict=True)), strict=True)), schema=pa.schema([("lang", pa.string()), ("n", pa.int32()), ("event", pa.string()), ("count", pa.int64())]))
-
+    def count_words(batches):
+        held: dict[str, Counter] = {}
         for batch in batches:
             for part in slices(batch, ["text"]):
                 for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = Counter(words_of(text))
-                    held.setdefault((lang, 0), Counter()).update(words)
-                    for n in range(1, MAX_GRAM + 1):
-                        grams = held.setdefault((lang, n), Counter())
-                        for w, c in words.items():
-                            for g in grams_of(w, n):
-                                grams[g] += c
-                if sum(map(len, held.values())) > 500_000:
-                    yield from flush()
-        yield from flush()
-
-    counts = rows.select("text", "lang").mapInArrow(count, _COUNTS).groupBy("lang", "n", "event").agg(F.sum("count").alias("count"))
+                    held.setdefault(lang, Counter()).update(words_of(text))
+                if sum(map(len, held.values())) > 300_000:
+                    yield from _flat(((lang, 0, w, c) for lang, x in held.items() for w, c in x.items()))
+                    held = {}
+        yield from _flat(((lang, 0, w, c) for lang, x in held.items() for w, c in x.items()))
+
+    def count_grams(batches):
+        held: dict[tuple[str, int], Counter] = {}
+        for batch in batches:
+            for lang, word, c in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                for n in range(1, MAX_GRAM + 1):
+                    grams = held.setdefault((lang, n), Counter())
+                    for g in grams_of(word, n):
+                        grams[g] += c
+            if sum(map(len, held.values())) > 300_000:
+                yield from _flat(((*k, g, c) for k, x in held.items() for g, c in x.items()))
+                held = {}
+        yield from _flat(((*k, g, c) for k, x in held.items() for g, c in x.items()))
+
+    words = rows.select("text", "lang").mapInArrow(count_words, _COUNTS).groupBy("lang", "n", "event").agg(F.sum("count").alias("count"))
+    words = Scratch(labelled.sparkSession).keep(words, "words")
+    grams = words.mapInArrow(count_grams, _COUNTS).groupBy("lang", "n", "event").agg(F.sum("count").alias("count"))
+    counts = words.unionByName(grams)
     rank = F.row_number().over(_top())
     kept = counts.withColumn("r", rank).where(F.col("r") <= F.when(F.col("n") == 0, TOP_WORDS).otherwise(TOP_GRAMS)).drop("r")
     found: dict[int, dict[str, Counter]] = {}
@@ -136,30 +166,42 @@ _FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructFiel
 
 
 class Predictor:
-    def __init__(self, model: Model):
-        self.model, self.cache = model, {}
+    """Scores of whole columns of texts; a worker remembers the tokens that it has met."""
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+        self.limit = max(1, min(CACHE_TOKENS, CACHE_BYTES // (8 * max(1, len(model.langs)))))
+        self.scores, self.letters = np.zeros((0, len(model.langs))), np.zeros(0, bool)
+
+    def _learn(self, tokens: list[str]) -> None:
+        if len(self.known) + len(tokens) > self.limit:
+            self.known = {}
+            self.scores, self.letters = self.scores[:0], self.letters[:0]
+        scores, letters = self.model.of_tokens(tokens)
+        self.known.update(zip(tokens, range(len(self.letters), len(self.letters) + len(tokens)), strict=True))
+        self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """The language and its share of the likelihood; `und` and 0 without letters or languages. Ties: the first name."""
-        if not text or not self.model.langs:
-            return UNKNOWN, 0.0
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        total, letters = np.zeros(len(self.model.langs)), False
-        for token, n in Counter(text.lower().split()).items():
-            if token in cache:
-                vector = cache[token]
-            else:
-                words = words_of(token)
-                vector = cache[token] = sum((self.model.of_word(w) for w in words), np.zeros(len(self.model.langs))) if words else None
-            if vector is not None:
-                total += n * vector
-                letters = True
-        if not letters:
-            return UNKNOWN, 0.0
-        best = int(np.argmax(total))
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
+        n, langs = len(texts), self.model.langs
+        if not n or not langs:
+            return [UNKNOWN] * n, np.zeros(n)
+        lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        tokens = lists.flatten().dictionary_encode()
+        names = tokens.dictionary.to_pylist()
+        missing = [t for t in names if t not in self.known]
+        if missing:
+            self._learn(missing)
+            if len(missing) < len(names) and any(t not in self.known for t in names):  # the memory was emptied
+                self._learn([t for t in names if t not in self.known])
+        rows = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[tokens.indices.to_numpy()]
+        offsets = lists.offsets.to_numpy()
+        owner = np.repeat(np.arange(n), np.diff(offsets))
+        total = np.stack([np.bincount(owner, self.scores[rows, k], n) for k in range(len(langs))], 1)
+        lettered = np.bincount(owner, self.letters[rows], n) > 0
+        best = total.argmax(1)
+        share = 1 / np.exp(total - total[np.arange(n), best][:, None]).sum(1)
+        return [langs[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)], np.where(lettered, share, 0.0)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -169,17 +211,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     language by name. Repeated rows are judged each. Columns of docs called lang_pred or score are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        predict = Predictor(shared.value)
-
-        def work(texts):
-            made = [predict(t) for t in texts]
-            return [[x for x, _ in made], [x for _, x in made]]
-
-        return work
-
-    return append_columns(docs, _FIELDS, [text_col], make)
+    return append_columns(docs, _FIELDS, [text_col], lambda: Predictor(shared.value), limit=16 << 20, arrow=True)
 
 
 def held_out(id_col: str = "doc_id"):
