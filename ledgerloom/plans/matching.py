@@ -1 +1,111 @@
-"""Matching queries."""
+"""Matching queries: names, identity, extraction, scoring, graphs and generated tasks, over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import extraction, generate, graph, identity, metrics, scoring
+from .registry import query, table
+
+_BARE = "lower(trim(regexp_replace(regexp_replace({0}, '[^\\w\\s]+', ' ', 'g'), '\\s+', ' ', 'g')))"
+_GRAMS = "CASE WHEN length({0}) = 0 THEN [] ELSE list_distinct(list_transform(generate_series(1, greatest(length({0}) - 2, 1)), lambda i: substr({0}, i, 3))) END"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, {_GRAMS.format(_BARE.format("name"))} AS gs FROM n)
+SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.gs, b.gs))::DOUBLE / len(list_distinct(list_concat(a.gs, b.gs))), 6) AS jaccard
+FROM g a JOIN g b ON a.name < b.name AND len(list_intersect(a.gs, b.gs)) > 0""")
+def shingle_jaccard(spark, d):
+    """Names that share a shingle, through an equi-join on shingles: no pair that shares none is ever made."""
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    grams = names.withColumn("gs", text.shingles(text.bare_name(F.col("name"))))
+    each = grams.select("name", F.size("gs").alias("n"), F.explode("gs").alias("g"))
+    common = each.select(F.col("name").alias("a"), F.col("n").alias("n_a"), "g").join(each.select(F.col("name").alias("b"), F.col("n").alias("n_b"), "g"), "g").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"))
+    return common.select("a", "b", F.round(F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c")), 6).alias("jaccard"))
+
+
+_ENTROPY = "coalesce(list_sum(list_transform(list_distinct(string_split({0}, '')), lambda x: -(len(list_filter(string_split({0}, ''), lambda y: y = x))::DOUBLE / length({0})) * log2(len(list_filter(string_split({0}, ''), lambda y: y = x))::DOUBLE / length({0})))), 0)"
+
+
+@query(f"""WITH n AS (SELECT c_custkey, {_BARE.format("c_name")} AS name FROM customer), e AS (SELECT c_custkey, name, {_ENTROPY.format("name")} AS h FROM n)
+SELECT c_custkey, round(h, 6) AS entropy, length(name) >= 6 AND h >= 1.5 AS informative FROM e""")
+def name_entropy_informative(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", text.bare_name(F.col("c_name")).alias("name"), "c_name")
+    return c.select("c_custkey", F.round(text.char_entropy(F.col("name")), 6).alias("entropy"), text.informative(F.col("c_name")).alias("informative"))
+
+
+def _pairs(spark, d):
+    p = table(spark, d, "part")
+    claims = F.create_map(F.lit("type"), F.array("p_type"), F.lit("brand"), F.array("p_brand"))
+    sides = p.select("p_partkey", F.array("p_name").alias("names"), claims.alias("claims"))
+    links = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").where("l_partkey <> l_suppkey").distinct()
+    a = sides.select(F.col("p_partkey").alias("l_partkey"), F.col("names").alias("names_a"), F.col("claims").alias("claims_a"))
+    b = sides.select(F.col("p_partkey").alias("l_suppkey"), F.col("names").alias("names_b"), F.col("claims").alias("claims_b"))
+    return links.join(a, "l_partkey").join(b, "l_suppkey")
+
+
+_PAIRS = "p AS (SELECT l_partkey, l_suppkey, a.p_name AS na, b.p_name AS nb, a.p_type = b.p_type AS t, a.p_brand = b.p_brand AS r FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey <> l_suppkey) JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_partkey = l_suppkey)"
+
+
+@query(f"""WITH {_PAIRS}, g AS (SELECT *, {_BARE.format("na")} AS ba, {_GRAMS.format(_BARE.format("na"))} AS ga, {_GRAMS.format(_BARE.format("nb"))} AS gb, CASE WHEN length(na) > length(nb) OR length(na) = length(nb) AND na >= nb THEN {_BARE.format("na")} ELSE {_BARE.format("nb")} END AS longer FROM p),
+s AS (SELECT *, len(list_intersect(ga, gb))::DOUBLE / len(list_distinct(list_concat(ga, gb))) AS j, {_ENTROPY.format("ba")} AS ha, {_ENTROPY.format("longer")} AS hl FROM g),
+x AS (SELECT l_partkey, l_suppkey, lower(na) = lower(nb) AND length(ba) >= 6 AND ha >= 1.5 AND t AND r AS agrees, j >= 0.9 AND length(longer) >= 6 AND hl >= 1.5 AS near FROM s)
+SELECT l_partkey, l_suppkey, CASE WHEN agrees OR near THEN 'same' ELSE 'unclear' END AS decision, CASE WHEN agrees THEN 'agreement' ELSE 'prefilter' END AS route FROM x""")
+def resolver_tiers(spark, d):
+    return identity.resolve(_pairs(spark, d), "names_a", "names_b", "claims_a", "claims_b").select("l_partkey", "l_suppkey", "decision", "route")
+
+
+@query(f"WITH {_PAIRS} SELECT l_partkey, l_suppkey, CASE WHEN lower(na) = lower(nb) THEN 'same' ELSE 'different' END AS by_name, CASE WHEN t AND r THEN 'same' ELSE 'different' END AS by_property FROM p")
+def identity_baselines(spark, d):
+    p = _pairs(spark, d)
+    return p.select("l_partkey", "l_suppkey", identity.name_baseline(F.col("names_a"), F.col("names_b")).alias("by_name"), identity.property_baseline(F.col("claims_a"), F.col("claims_b")).alias("by_property"))
+
+
+@query("SELECT event_id, 'k' AS property, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS magnitude FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def answer_triples(spark, d):
+    rows = extraction.answers_to_triples(table(spark, d, "events").select("event_id", "props"), "event_id", "props")
+    return rows.where("kind = 'triple'").select("event_id", "property", "magnitude")
+
+
+@query(None)
+def html_text(spark, d):
+    return extraction.pages_to_entities(table(spark, d, "pages").select("page_id", "html"), "page_id", "html").where("syntax = 'text'").select("page_id", F.length("content").alias("chars"), "licence", "errors")
+
+
+@query(None)
+def prose_measurements(spark, d):
+    docs = generate.documents(spark, 0, 500).select("task_id", "document")
+    return extraction.answers_to_triples(docs, "task_id", "document", prose=True).where("kind = 'triple'").select("task_id", "entity", "property", "magnitude", "unit")
+
+
+@query(None)
+def score_task(spark, d):
+    """Controls through the whole path: generated documents, answers, extraction, alignment, score."""
+    tasks = generate.documents(spark, 0, 400)
+    out = None
+    for control in generate.CONTROLS:
+        scored = scoring.score_tasks(tasks, generate.control_answers(tasks, control)).groupBy("dimension").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))).withColumn("control", F.lit(control))
+        out = scored if out is None else out.unionByName(scored)
+    return out.withColumns(metrics.prf())
+
+
+@query(None)
+def graph_fold(spark, d):
+    c = table(spark, d, "conversations")
+    entity = F.struct(F.concat(F.lit("m"), F.col("turn").cast("string")).alias("key"), F.col("role").alias("class"), F.lit(None).cast("string").alias("label"), F.create_map(F.lit("name"), F.array(F.substring_index("text", " ", 1))).alias("data"))
+    link = F.when(F.col("turn") > 0, F.array(F.array(F.concat(F.lit("m"), F.col("turn").cast("string")), F.lit("answers"), F.concat(F.lit("m"), (F.col("turn") - 1).cast("string"))))).otherwise(F.array().cast("array<array<string>>"))
+    turns = c.select(F.col("conv_id").cast("string").alias("session"), "turn", F.to_json(F.array(entity)).alias("entities"), F.to_json(link).alias("links"))
+    return graph.fold_sessions(turns).select("session", "nodes", "edges", "conflicts")
+
+
+@query(None)
+def seeded_generator(spark, d):
+    return generate.documents(spark, 100_000, 1_000).select("task_id", F.sha2("document", 256).alias("document"), F.sha2("expected", 256).alias("expected"))
+
+
+@query("SELECT l_orderkey AS graph, 'p' || l_partkey::VARCHAR AS id FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 3 <> 0) UNION SELECT l_orderkey, 's' || l_suppkey::VARCHAR FROM lineitem")
+def graph_nodes(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("graph"), "l_partkey", "l_suppkey", "l_returnflag")
+    entities = li.where("l_partkey % 3 <> 0").select("graph", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id"), F.lit("part").alias("class")).distinct()
+    links = li.select("graph", F.lit("x").alias("source"), F.col("l_returnflag").alias("property"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"))
+    return graph.build(entities, links)[0].select("graph", "id")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import url_host
 
@@ -99,7 +100,7 @@ def wikitext_links(df: DataFrame, key: list[str], text: str) -> DataFrame:
 def detagged(c: Column) -> Column:
     """Text of a value that may be escaped markup: unescaped up to three times, tags dropped, white space collapsed."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         def one(x):
             if x is None:
