@@ -26,8 +26,10 @@ def property_agreement(a: Column, b: Column) -> tuple[Column, Column]:
 
 def best_jaccard(a: Column, b: Column) -> Column:
     """The closest pair of names: struct(score, name), name being its longer one; ties go to the longer, then the lesser name."""
-    pairs = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(text.jaccard(text.shingles(text.bare_name(x)), text.shingles(text.bare_name(y))).alias("score"), F.greatest(F.struct(F.length(x).alias("n"), x.alias("v")), F.struct(F.length(y).alias("n"), y.alias("v"))).alias("name")))))
-    return F.array_max(pairs)
+    # shingles are made once for each name, not for each pair
+    with_grams = lambda c: F.transform(c, lambda x: F.struct(F.struct(F.length(x).alias("n"), x.alias("v")).alias("name"), text.shingles(text.bare_name(x)).alias("g")))
+    score = lambda x, y: F.struct(text.jaccard(x["g"], y["g"]).alias("score"), F.greatest(x["name"], y["name"]).alias("name"))
+    return F.array_max(F.flatten(F.transform(with_grams(a), lambda x: F.transform(with_grams(b), lambda y: score(x, y)))))
 
 
 def resolve(pairs: DataFrame, names_a: str, names_b: str, claims_a: str, claims_b: str, judge: str | None = None) -> DataFrame:
