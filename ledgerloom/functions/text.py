@@ -83,10 +83,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def char_entropy(c: Column) -> Column:
     """Shannon entropy of the characters, in bits; 0 for the empty text."""
-    chars = F.split(c, "")
-    n = F.length(c)
-    each = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / n)
-    return F.when(n == 0, 0.0).otherwise(F.aggregate(each, F.lit(0.0), lambda s, p: s - p * F.log2(p)))
+
+    def of(chars: Column) -> Column:
+        each = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / F.size(chars))
+        return F.aggregate(each, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+
+    # the characters are a variable of the function, so that they are split off once
+    return F.when(F.length(c) == 0, 0.0).otherwise(F.element_at(F.transform(F.array(F.split(c, "")), of), 1))
 
 
 #: A name shorter or more uniform than this is no evidence.
@@ -94,5 +97,5 @@ MIN_NAME, MIN_ENTROPY = 6, 1.5
 
 
 def informative(c: Column) -> Column:
-    name = bare_name(c)
-    return (F.length(name) >= MIN_NAME) & (char_entropy(name) >= MIN_ENTROPY)
+    telling = lambda name: (F.length(name) >= MIN_NAME) & (char_entropy(name) >= MIN_ENTROPY)
+    return F.element_at(F.transform(F.array(bare_name(c)), telling), 1)
