@@ -2,11 +2,13 @@
 
 1. One pass over the texts: distinct 5-word shingles as 64-bit hashes, MinHash samples, their odd sketch and band keys.
 2. Documents of one set become one node, the smallest id. Only nodes go on, so exact copies cost nothing more.
-3. Nodes that share a band key are candidates. Each bucket first links to its smallest node, so its pairs stay linear; then
-   buckets whose nodes are still in different components are compared by sketches alone, in blocks, until nothing is open.
-4. An odd sketch is the parity bitmap of the samples; the population count of two sketches' XOR estimates how many samples
-   differ. Pairs beyond `sketch_limit` go; the rest are confirmed on full sets.
-5. Components by alternating large and small stars, each round written to the shared folder.
+3. Nodes that share a band key are candidates. An odd sketch is the parity bitmap of the samples; the population count of two
+   sketches' XOR estimates how many samples differ, and pairs beyond `sketch_limit` go. Of the pairs that stay, a bucket
+   reports a spanning forest only, so what it emits is linear in its nodes. Components of these are clusters.
+4. Every link lies within a cluster. There full sets are compared exactly, a node with all others at once over an inverted
+   list, and again a spanning forest of the links is reported. Components of that are the result.
+Buckets and clusters of any size are dealt in pairs of bounded blocks. Components come of alternating large and small stars,
+each round written to the shared folder.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, append_columns, table
+from .common import Scratch, append_columns, slices, table
 
 SHINGLE = 5
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
@@ -30,8 +32,12 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 256
 #: Nodes of a bucket that one task compares with each other or with as many more.
 BLOCK_NODES = 4096
-#: Sketch matches that a node reports in the first round of comparisons; eight times as many in each further round.
-FIRST_REPORTS = 8
+#: Shingles of a cluster's nodes that one task compares with each other or with as many more; one node may have more.
+BLOCK_SHINGLES = 1 << 20
+#: Nodes whose sketches are compared with a block at once.
+STRIP = 128
+#: Bits of the map that screens whose full sets are wanted: 16 for each, up to this bound (16 MB), beyond which it only screens less.
+MAP_BITS = 1 << 27
 
 _U64, _U32 = np.uint64, np.uint32
 
@@ -160,17 +166,30 @@ def _signatures():
     return work
 
 
-def _full_sets():
-    return lambda texts: [[s.view(np.int64) for s in shingle_sets(texts)]]
-
-
-def _differing(a: str, b: str):
-    return functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)))
+def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the documents among nodes. No text is shuffled: a bit map of bounded size screens the scan first."""
+    spark = texts.sparkSession
+    bits = min(MAP_BITS, 1 << max(16, (16 * nodes.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    held = nodes.select((place("node") + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    known = np.zeros(bits, bool)
+    for r in held.collect():  # a row for each 32,768 bits
+        found = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").view(bool)
+        begin = 32_768 * (r["k"] - 1)
+        known[begin : begin + 32_768] = found[: bits - begin]
+    shared = spark.sparkContext.broadcast(np.packbits(known))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            picked = np.flatnonzero(wanted[batch.column(2).to_numpy()])
+            if len(picked):
+                for part in slices(batch.take(pa.array(picked)), ["text"]):
+                    made = [x.view(np.int64) for x in shingle_sets(part.column(1).to_pylist())]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-def _sizes_fit(percent: int):
-    """Sets so different in size can't be similar enough."""
-    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    screened = texts.where("doc_id is not null").select("doc_id", "text", place("doc_id").alias("at")).mapInArrow(run, "node long, shingles array<long>")
+    return screened.join(nodes.select("node"), "node", "left_semi")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -194,61 +213,118 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         before, after = after, state(now)
         if k > 1:
             scratch.drop(f"{name}-{k - 2}")
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-
-
-def _compare(percent: int, reports: int):
-    """Within each key's rows, sorted by key: for every node its `reports` nearest earlier nodes of other components."""
+    stars = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    return stars.unionAll(stars.select("component", "component").distinct())
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key; rows come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in key], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and at != tuple(keys[a]):
+                yield pa.Table.from_batches(held)
+                held = []
+            at = tuple(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Forest:
+    """Trees of a block's nodes; joining two reports an edge."""
+
+    def __init__(self, node: np.ndarray):
+        self.node, self.root, self.edges = node, np.arange(len(node)), []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Tie i to one of `others` for each tree that they stand in."""
+        roots, first = np.unique(self.root[others], return_index=True)
+        for r, j in zip(roots.tolist(), others[first].tolist(), strict=True):
+            if r != self.root[i]:
+                a, b = int(self.node[i]), int(self.node[j])
+                self.edges.append((min(a, b), max(a, b)))
+                self.root[self.root == r] = self.root[i]
+
+
+def _edge_batches(forests: Iterator[_Forest]) -> Iterator[pa.RecordBatch]:
+    for forest in forests:
+        for i in range(0, len(forest.edges), 50_000):
+            a, b = zip(*forest.edges[i : i + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _blocks(rows: pa.Table) -> tuple[np.ndarray, int, bool]:
+    """(order of the rows, the first block's before the second's; its size; whether two blocks meet)."""
+    x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
+    second = rows.column("block").to_numpy() != x
+    order = np.lexsort((rows.column("node").to_numpy(), second))
+    return order, int((~second).sum()), x != y
+
+
+def _screen(percent: int):
+    """A spanning forest of the pairs of each bucket that size and sketch let through."""
     limit = sketch_limit(percent)
 
-    def of_group(first: np.ndarray, node: np.ndarray, label: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, crossed: bool):
-        order = np.lexsort((node, ~first))
-        first, node, label, sizes, sketch = first[order], node[order], label[order], sizes[order], sketch[order]
-        split = int(first.sum())
+    def forest(rows: pa.Table) -> _Forest:
+        order, split, crossed = _blocks(rows)
+        node, sizes = rows.column("node").to_numpy()[order], rows.column("n").to_numpy()[order]
+        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_BITS // 64)[order]
+        out = _Forest(node)
+        for at in range(split if crossed else 1, len(node), STRIP):
+            strip = slice(at, min(at + STRIP, len(node)))
+            to = split if crossed else strip.stop - 1
+            near = np.bitwise_count(sketch[strip, None] ^ sketch[:to]).sum(2, dtype=np.uint16) <= limit
+            near &= 100 * np.minimum(sizes[strip, None], sizes[:to]) >= percent * np.maximum(sizes[strip, None], sizes[:to])
+            for r in np.flatnonzero(near.any(1)).tolist():
+                others = np.flatnonzero(near[r, : to if crossed else at + r])
+                if len(others):
+                    out.join(at + r, others)
+        return out
+
+    return lambda batches: _edge_batches(forest(rows) for rows in _grouped(batches, ["bucket", "x", "y"]))
+
+
+def _confirm(percent: int):
+    """A spanning forest of the links of each cluster, on full sets."""
+
+    def forest(rows: pa.Table) -> _Forest:
+        order, split, crossed = _blocks(rows)
+        node = rows.column("node").to_numpy()[order]
+        lists = rows.column("shingles").combine_chunks().take(pa.array(order))
+        sizes = np.diff(lists.offsets.to_numpy())
+        words, number = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        owner = np.repeat(np.arange(len(node)), sizes)
+        listed = np.argsort(number, kind="stable")  # by shingle, then by node
+        holders, begin = owner[listed], np.searchsorted(number[listed], np.arange(len(words) + 1))
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        out = _Forest(node)
         for i in range(split if crossed else 1, len(node)):
             to = split if crossed else i
-            fit = np.flatnonzero((label[:to] != label[i]) & (100 * np.minimum(sizes[:to], sizes[i]) >= percent * np.maximum(sizes[:to], sizes[i])))
-            if not len(fit):
+            if (out.root[:to] == out.root[i]).all():
                 continue
-            apart = np.bitwise_count(sketch[fit] ^ sketch[i]).sum(1)
-            near = apart <= limit
-            fit, apart = fit[near], apart[near]
-            more = len(fit) > reports
-            if more:
-                fit = fit[np.lexsort((node[fit], apart))[:reports]]
-            for j in fit.tolist():
-                yield min(node[i], node[j]), max(node[i], node[j]), more
+            own = number[bounds[i] : bounds[i + 1]]
+            many = begin[own + 1] - begin[own]
+            place = np.arange(int(many.sum())) + np.repeat(begin[own] - np.cumsum(many) + many, many)
+            common = np.bincount(holders[place], minlength=len(node))[:to]
+            out.join(i, np.flatnonzero(100 * common >= percent * (sizes[:to] + sizes[i] - common)))
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def close():
-            rows = pa.Table.from_batches(held)
-            x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
-            sketch = rows.column("sketch").combine_chunks()
-            sketch = sketch.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_BITS // 64)
-            part = {c: rows.column(c).to_numpy() for c in ("block", "node", "label", "n")}
-            found = list(of_group(part["block"] == x, part["node"], part["label"], part["n"], sketch, x != y))
-            for i in range(0, len(found), 50_000):
-                a, b, more = zip(*found[i : i + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
-
-        key = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "x", "y")], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if held and key != tuple(keys[a]):
-                    yield from close()
-                    held = []
-                key = tuple(keys[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from close()
+    return lambda batches: _edge_batches(forest(rows) for rows in _grouped(batches, ["bucket", "x", "y"]))
 
-    return run
+
+def _dealt(rows: DataFrame, parts) -> DataFrame:
+    """Each bucket's rows in blocks, and each pair of blocks under a key (bucket, x, y) of its own."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("parts", parts.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("parts", "other")
+    return rows.repartition(n, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,8 +336,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     different texts pool their links. Only the two named columns are read; others don't clash. An empty table: an empty result.
     Ids are 64-bit integers.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     key = ["n_shingles", "set_a", "set_b"]
     signed = scratch.keep(append_columns(texts, _SIGNATURE, ["text"], _signatures).drop("text"), "signatures")
@@ -270,52 +345,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     nodes = linkable.join(classes.withColumnRenamed("node", "doc_id"), [*key, "doc_id"], "left_semi")
 
     banded = nodes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    buckets = scratch.keep(banded.join(shared, "bucket"), "buckets")
-    involved = buckets.select(F.col("node").alias("doc_id")).distinct()
-    sketches = scratch.keep(nodes.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "sketches")
-    full = append_columns(texts.join(involved, "doc_id", "left_semi"), T.StructType([T.StructField("shingles", _LONGS)]), ["text"], _full_sets)
-    sets = scratch.keep(full.select(F.col("doc_id").alias("node"), "shingles"), "sets")
-
-    def screened(pairs: DataFrame) -> DataFrame:
-        one = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-        two = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-        return pairs.join(one, "a").join(two, "b").where(_sizes_fit(percent) & (_differing("sketch_a", "sketch_b") <= sketch_limit(percent))).select("a", "b").distinct()
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_1"))
-        two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_2"))
-        both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("set_1", "set_2")))
-        union = F.size("set_1") + F.size("set_2") - F.col("common")
-        return both.select("a", "b", (100 * F.col("common") >= percent * union).alias("linked"))
-
-    judged = scratch.keep(confirmed(screened(buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())), "judged-0")
-    labels = scratch.keep(components(judged.where("linked"), scratch, "stars-0"), "labels-0")
-    reports, k = FIRST_REPORTS, 0
-    while True:
-        k += 1
-        labelled = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-        split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-        parts = F.ceil(F.col("m") / BLOCK_NODES).cast("int")
-        rows = labelled.join(split.select("bucket", parts.alias("parts")), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sketches, "node")
-        rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "label", "n", "sketch")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = rows.repartition(n, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(_compare(percent, reports), "a long, b long, more boolean")
-        found = found.groupBy("a", "b").agg(F.max("more").alias("more"))
-        found = scratch.keep(found.join(judged.select("a", "b"), ["a", "b"], "left_anti").unionAll(found.where("more").select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(True)).limit(1)), f"found-{k}")
-        fresh = found.where("a is not null")
-        if fresh.isEmpty():
-            if found.isEmpty():
-                break
-        else:
-            now = scratch.keep(confirmed(fresh.select("a", "b")), f"judged-{k}")
-            judged = judged.unionAll(now)
-            if not now.where("linked").isEmpty():
-                labels = scratch.keep(components(judged.where("linked"), scratch, f"stars-{k}"), f"labels-{k}")
-            if found.where("more").isEmpty():
-                break  # every pair that a sketch lets through, in any bucket, is judged or within one component
-        reports *= 8
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = banded.join(shared, "bucket").join(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "node")
+    maybe = _dealt(buckets, F.ceil(F.col("members") / BLOCK_NODES)).select("bucket", "x", "y", "block", "node", "n", "sketch").mapInArrow(_screen(percent), "a long, b long")
+    clusters = scratch.keep(components(maybe, scratch, "maybe").select("node", F.col("component").alias("bucket")), "clusters")
+
+    sets = _sets_of(texts, clusters)
+    sizes = clusters.join(nodes.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("bucket").agg(F.sum("n_shingles").alias("total"))
+    full = clusters.join(sizes, "bucket").join(sets, "node")
+    linked = _dealt(full, F.ceil(F.col("total") / BLOCK_SHINGLES)).select("bucket", "x", "y", "block", "node", "shingles").mapInArrow(_confirm(percent), "a long, b long")
+    labels = components(linked, scratch, "linked")
+
     placed = signed.select("doc_id", *key).join(classes, key, "left").join(labels, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
