@@ -33,9 +33,9 @@ def local_session(cpus: str = "8", app: str = "ledgerloom", **conf: str) -> Spar
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors once, unless their path has it already."""
+    """In local mode, put the package on the workers' path once, unless it is there. A cluster gets it by --py-files or PYTHONPATH."""
     sc = spark.sparkContext
-    if getattr(sc, "_ledgerloom_shipped", False):
+    if getattr(sc, "_ledgerloom_shipped", False) or not sc.master.startswith("local"):
         return
     sc._ledgerloom_shipped = True
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
