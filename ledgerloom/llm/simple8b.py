@@ -17,12 +17,11 @@ _MASK = np.uint64((1 << 60) - 1)
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
-    out = np.ones(len(ids), np.uint8)
-    for b in range(1, 64):
-        over = ids >> np.uint64(b) > 0
-        if not over.any():
-            break
-        out[over] = b + 1
+    """Bits that each id needs, at least 1."""
+    out, top = np.ones(len(ids), np.uint8), int(ids.max(initial=0))
+    narrow = ids.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+    for b in range(1, top.bit_length()):
+        out += narrow >= narrow.dtype.type(1 << b)
     return out
 
 

@@ -10,17 +10,20 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from . import simple8b
 from .common import Scratch, shared_dir, slices, table
@@ -28,14 +31,31 @@ from .common import Scratch, shared_dir, slices, table
 MAGIC = b"S8BTOK01"
 #: Ids held before a file is closed; a longer document still stays in one file.
 FILE_IDS = 4 << 20
+#: Text bytes whose words are looked up together.
+BATCH_BYTES = 16 << 20
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
+#: Marks in word lists: a line feed; a word that no space comes before.
+_GAP, _BARE = "\x02", "\x01"
 #: White space of the pre-tokenizer's pattern.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What sends a text to be encoded whole: adjoining white space, white space or controls besides space and line feed, either at the end.
-_PLAIN = re.compile(rf"[{_SPACE}][{_SPACE}]|[\x00-\x09\x0b-\x1f\x85\xa0  -     　]|[ \n]\Z")
-_NEWLINE = "\n"
+_PLAIN = re.compile(rf"[{_SPACE}][{_SPACE}]|[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n]\Z")
+#: Bytes of texts that can't hold any of those: then the pattern needn't be searched.
+_ORDINARY = bytes(b for b in range(256) if b in b"\n " or 33 <= b and b not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3))
+_ADJOINING = (b"  ", b" \n", b"\n ", b"\n\n")
+#: Words up to this character are split by the pattern here; Unicode tables of two libraries could differ beyond.
+_LATIN = "\u024f"
+
+
+def _alphabet() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from U+0100 on."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printed]
+    out = np.arange(256, dtype="<u4")
+    out[rest] = 256 + np.arange(len(rest))
+    return out
 
 
 class ByteBpe:
@@ -50,42 +70,87 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        self.newline = self.whole(_NEWLINE)
+        self.newline = self.whole("\n")
+        # the file's own model behind a cheaper splitter: words are split and spelled here, in bulk
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.alphabet = _alphabet()
+        self.alphabet[0] = ord(" ")
+        self.gap = chr(self.alphabet[10])
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.parts = len(self.newline) == 4 and all(self.whole(x) == self.by_word([x])[0] for x in ("a's b1,", " \u00dcber-12.", "x"))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def by_word(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without line feeds or NUL: all pre-tokens spelled in the vocabulary's alphabet at once, then the model."""
+        spelled = "\x00".join(self.pattern.findall("\n".join(texts))).encode()
+        spelled = self.alphabet[np.frombuffer(spelled, np.uint8)].tobytes().decode("utf-32-le")
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(spelled.split(self.gap), add_special_tokens=False)]
+
     def learn(self, words: list[str]) -> None:
-        """Encode new words together, parted by line feeds, whose id then parts their ids."""
+        """Remember the ids of words; the marked line feed is among them always."""
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
-        ids = np.frombuffer(self.whole(_NEWLINE.join(w[1:] if w[0] == "\x01" else f" {w}" for w in words)), "<u4")
-        ends = np.append(np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0]), len(ids))
-        if len(ends) != len(words):
-            raise ValueError("the line feed does not part words under this tokenizer")
-        begin = 0
-        for word, end in zip(words, ends.tolist(), strict=True):
-            self.known[word] = ids[begin:end].tobytes()
-            begin = end + 1
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<u4")
-        if _PLAIN.search(text) or text[0] in " \n" or len(self.newline) != 4:
-            return np.frombuffer(self.whole(text), "<u4")
-        # \x01 marks a word without a space before it; words end at spaces and line feeds
-        words = ("\x01" + text.replace("\n", " \x02 \x01")).split(" ")
-        known = self.known
-        known["\x02"] = self.newline
-        missing = [w for w in dict.fromkeys(words) if w not in known]
+        words = [w for w in words if w != _GAP]
+        self.known[_GAP] = self.newline
+        texts = [w[1:] if w[0] == _BARE else f" {w}" for w in words]
+        latin = [i for i, t in enumerate(texts) if t and max(t) <= _LATIN]
+        found = self.by_word([texts[i] for i in latin]) if latin else []
+        for i, ids in zip(latin, found, strict=True):
+            self.known[words[i]] = ids
+        for i in set(range(len(words))).difference(latin):
+            self.known[words[i]] = self.whole(texts[i])
+
+    def plain(self, data: bytes) -> bool:
+        """Whether words are parted by single spaces and line feeds alone."""
+        if not self.parts or data[0] in b" \n" or data[-1] in b" \n" or any(x in data for x in _ADJOINING):
+            return False
+        return not data.translate(None, _ORDINARY) or not _PLAIN.search(data.decode("utf-8", "surrogatepass"))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, number of ids of each): distinct words are found by Arrow, and looked up once."""
+        data = texts.cast(pa.binary()).to_pylist()
+        plain = [bool(d) and self.plain(d) for d in data]
+        counts = np.zeros(len(data), np.int64)
+        rows = np.flatnonzero(plain)
+        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(_BARE), pc.replace_substring(texts.take(pa.array(rows)).cast(pa.string()), "\n", f" {_GAP} {_BARE}"), ""), " ")
+        words = lists.flatten().dictionary_encode()
+        names, number = words.dictionary.to_pylist(), words.indices.to_numpy()
+        missing = [w for w in names if w not in self.known]
         if missing:
             self.learn(missing)
-            known["\x02"] = self.newline
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-        except KeyError:  # the memory was emptied for this text's new words
-            return np.frombuffer(self.whole(text), "<u4")
+            if any(w not in self.known for w in names):  # the memory was emptied for this batch's new words
+                self.learn(list(names))
+        ids = [self.known[w] for w in names]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        many = sizes[number]
+        ends = np.cumsum(many)
+        place = np.arange(int(ends[-1]) if len(ends) else 0)
+        place += np.repeat(starts[number] - (ends - many), many)
+        made = flat[place]
+        if len(rows):
+            bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            counts[rows] = np.diff(bounds)
+        if len(rows) == len(data):
+            return made, counts
+        parts, at = [], 0
+        for i, d in enumerate(data):
+            if not plain[i]:
+                part = np.frombuffer(self.whole(d.decode("utf-8", "surrogatepass")), "<u4") if d else made[:0]
+                counts[i] = len(part)
+            else:
+                part = made[at : at + counts[i]]
+                at += counts[i]
+            parts.append(part)
+        return np.concatenate(parts) if parts else made, counts
 
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_column(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids that `encode` gave."""
@@ -201,9 +266,11 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, end_id: int =
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [path], "n_docs": [len(held)], "n_ids": [total]})
 
         for batch in batches:
-            for piece in slices(batch, ["text"]):
-                for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    ids = np.concatenate([bpe.encode(text), end])
+            for piece in slices(batch, ["text"], BATCH_BYTES):
+                found, many = bpe.encode_column(piece.column(1))
+                bounds = np.cumsum(many)
+                for doc, stop, size_ in zip(piece.column(0).to_pylist(), bounds.tolist(), many.tolist(), strict=True):
+                    ids = np.concatenate([found[stop - size_ : stop], end])
                     if held and size + len(ids) > file_ids:
                         yield close()
                         seq, held, size = seq + 1, [], 0
