@@ -10,7 +10,6 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -32,9 +31,11 @@ MAGIC = b"S8BTOK01"
 #: Ids held before a file is closed; a longer document still stays in one file.
 FILE_IDS = 4 << 20
 #: Text bytes whose words are looked up together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+#: New words that the model gets as one text.
+TOGETHER = 16
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 900_000
 
 #: Marks in word lists: a line feed; a word that no space comes before.
 _GAP, _BARE = "\x02", "\x01"
@@ -85,10 +86,22 @@ class ByteBpe:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def by_word(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts without line feeds or NUL: all pre-tokens spelled in the vocabulary's alphabet at once, then the model."""
-        spelled = "\x00".join(self.pattern.findall("\n".join(texts))).encode()
-        spelled = self.alphabet[np.frombuffer(spelled, np.uint8)].tobytes().decode("utf-32-le")
-        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(spelled.split(self.gap), add_special_tokens=False)]
+        """Ids of texts without line feeds or NUL: all pre-tokens spelled in the vocabulary's alphabet at once, then the model.
+
+        The model gets many texts as one, parted by the spelling of a line feed, whose id then parts their ids.
+        """
+        parted, out = self.pattern.findall("\n".join(texts)), []
+        spelled = np.frombuffer("\x00".join(parted).encode(), np.uint8)
+        spelled = self.alphabet[spelled].tobytes().decode("utf-32-le").split(self.gap)
+        joined = [f"{self.gap}".join(spelled[i : i + TOGETHER]) for i in range(0, len(spelled), TOGETHER)]
+        gap = int(np.frombuffer(self.newline, "<u4")[0])
+        for e in self.model.encode_batch_fast([x.replace(self.gap, f" {self.gap} ") for x in joined], add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            ends = [*np.flatnonzero(ids == gap).tolist(), len(ids)]
+            begins = [0, *(x + 1 for x in ends[:-1])]
+            data = ids.tobytes()
+            out += [data[4 * x : 4 * y] for x, y in zip(begins, ends, strict=True)]
+        return out
 
     def learn(self, words: list[str]) -> None:
         """Remember the ids of words; the marked line feed is among them always."""
@@ -97,12 +110,14 @@ class ByteBpe:
         words = [w for w in words if w != _GAP]
         self.known[_GAP] = self.newline
         texts = [w[1:] if w[0] == _BARE else f" {w}" for w in words]
-        latin = [i for i, t in enumerate(texts) if t and max(t) <= _LATIN]
-        found = self.by_word([texts[i] for i in latin]) if latin else []
-        for i, ids in zip(latin, found, strict=True):
-            self.known[words[i]] = ids
-        for i in set(range(len(words))).difference(latin):
-            self.known[words[i]] = self.whole(texts[i])
+        if not texts or max("".join(texts), default="") > _LATIN or "" in texts:
+            latin = [i for i, t in enumerate(texts) if t and max(t) <= _LATIN]
+            for i in set(range(len(words))).difference(latin):
+                self.known[words[i]] = self.whole(texts[i])
+            words, texts = [words[i] for i in latin], [texts[i] for i in latin]
+        for i in range(0, len(texts), 50_000):
+            found = self.by_word(texts[i : i + 50_000])
+            self.known.update(zip(words[i : i + 50_000], found, strict=True))
 
     def plain(self, data: bytes) -> bool:
         """Whether words are parted by single spaces and line feeds alone."""
@@ -119,12 +134,14 @@ class ByteBpe:
         lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(_BARE), pc.replace_substring(texts.take(pa.array(rows)).cast(pa.string()), "\n", f" {_GAP} {_BARE}"), ""), " ")
         words = lists.flatten().dictionary_encode()
         names, number = words.dictionary.to_pylist(), words.indices.to_numpy()
-        missing = [w for w in names if w not in self.known]
+        ids = list(map(self.known.get, names))
+        missing = [w for w, x in zip(names, ids, strict=True) if x is None]
         if missing:
             self.learn(missing)
-            if any(w not in self.known for w in names):  # the memory was emptied for this batch's new words
-                self.learn(list(names))
-        ids = [self.known[w] for w in names]
+            ids = list(map(self.known.get, names))
+            if None in ids:  # the memory was emptied for this batch's new words
+                self.learn([w for w, x in zip(names, ids, strict=True) if x is None])
+                ids = [self.known.get(w) or self.whole(w[1:] if w[0] == _BARE else f" {w}") for w in names]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         starts = np.cumsum(sizes) - sizes
