@@ -1,11 +1,13 @@
 """HTML extraction by tag-path ratios: which root-to-leaf tag paths carry a page's prose, and the container that they fill.
 
-1. A tolerant scan turns the page into text nodes with their tag paths; markup that never is article text (menus, forms, scripts,
-   and elements that name themselves so) is left out with all it holds.
+1. A tolerant scan turns the page into text nodes with their tag paths; markup that never is article text (menus, scripts) is
+   left out with all it holds. Forms and elements that name themselves menus, comments and the like are left out only where they
+   don't hold the page's prose.
 2. For each path: code points and punctuation over its nodes give a length ratio and a punctuation ratio; ratios are smoothed
    over the nodes in page order, then fused by multiplying.
-3. Nodes on paths over the threshold are the prose; the innermost element that holds most of it is the article.
-4. All blocks of that element are the text, so short headings and list items stay in.
+3. Nodes on paths over the threshold are the prose. The innermost element that holds most of it is widened until it holds all
+   (of an article element: all on the article's own paths): that is the article.
+4. All blocks of that element are the text, so short headings and list items stay in; so does a title just outside.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import types as T
 
 from .common import append_columns, table
 
-#: Share of the prose that the article's element must hold.
+#: Share of the prose that the article's element must hold before it is widened.
 HOLDS = 0.7
+#: Shares of the prose that keep an element in against its name: with a landmark in it; without one, if none is elsewhere.
+KEEPS, KEEPS_BARE = 0.5, 0.9
 #: Standard deviation of the smoothing, in text nodes, and its reach.
 SIGMA, REACH = 1.0, 2
 #: Paths with a fused ratio of at least this share of the mean over the page's code points count as prose.
@@ -31,21 +35,24 @@ THRESHOLD = 0.3
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements left out with all they hold.
-DROP = frozenset("head nav header footer aside form script style noscript template svg math canvas object embed iframe button select option textarea input dialog menu audio video map applet title xmp noembed noframes".split())
-BLOCK = frozenset("address article blockquote body center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html legend li main ol optgroup p pre section summary table tbody td tfoot th thead tr caption ul".split())
+DROP = frozenset("head nav header footer aside script style noscript template svg math canvas object embed iframe button select option textarea input dialog menu audio video map applet title xmp noembed noframes".split())
+BLOCK = frozenset("address article blockquote body center dd details dir div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 hgroup hr html legend li main ol optgroup p pre section summary table tbody td tfoot th thead tr caption ul".split())
 #: A start tag ends these open elements, up to the given bounds.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 BOUND = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "tbody": ("table",), "tfoot": ("table",)}
-ENDS_P = (BLOCK | {"form", "nav", "header", "footer", "aside", "menu"}) - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+ENDS_P = (BLOCK | {"nav", "header", "footer", "aside", "menu"}) - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: Words in class or id of elements that aren't the article.
 NAMED = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist commentary consent cookie cookies copyright dialog disclaimer discussion disqus "
     "footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager paginate pagination paywall popup promo promotion recommended related "
     "replies reply respond search share sharebar sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
+#: Those that parts of an article bear as well: such an element stays if its text is on paths of the prose outside.
+WEAK = frozenset("commentary consent discussion disclaimer login notice notices promotion reply respond search share sharing social subscription".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar tooltip".split())
 #: Elements that a class or id name alone doesn't leave out.
 KEPT = frozenset(("html", "body", "main"))
+LANDMARKS = frozenset(("article", "main", "h1"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -54,27 +61,32 @@ _PUNCT = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "path", "drop", "block")
+    __slots__ = ("tag", "parent", "depth", "path", "drop", "block", "suspect", "weak")
 
-    def __init__(self, tag: str, parent: _Element | None, paths: dict, drop: bool):
+    def __init__(self, tag: str, parent: _Element | None, paths: dict, drop: bool, named: set[str] | None = None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.path = paths.setdefault((parent.path if parent else -1, tag), len(paths))
         self.drop, self.block = drop or bool(parent and parent.drop), tag in BLOCK
+        #: the innermost element, from this one up, that calls itself something else than the article
+        self.suspect = self if named else parent.suspect if parent else None
+        self.weak = bool(named) and named <= WEAK
 
 
-def _left_out(tag: str, attrs: str, named: bool) -> bool:
+def _judged(tag: str, attrs: str) -> tuple[bool, set[str]]:
+    """(left out in any case, the words that speak against the element)."""
     if tag in DROP:
-        return True
-    if not attrs or not attrs.strip():
-        return False
+        return True, set()
+    words = {"form"} if tag == "form" else set()
+    if not attrs or not attrs.strip() or tag in KEPT:
+        return False, words
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return tag not in KEPT
-    return named and tag not in KEPT and any(w.lower() in NAMED for w in _NAME.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+        return True, words
+    return False, words | NAMED.intersection(w.lower() for w in _NAME.findall(f"{found.get('class', '')} {found.get('id', '')}"))
 
 
-def text_nodes(page: str, named: bool = True) -> list[tuple[_Element, int, str]]:
+def text_nodes(page: str) -> list[tuple[_Element, int, str]]:
     """(innermost element, block number, text) of the page's text nodes outside what is left out."""
     paths: dict = {}
     at = top = _Element("#page", None, paths, False)
@@ -125,19 +137,17 @@ def text_nodes(page: str, named: bool = True) -> list[tuple[_Element, int, str]]
                 shut = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, place)
                 place = shut.end() if shut else end
                 continue
-            at = _Element(tag, at, paths, _left_out(tag, attrs, named))
+            at = _Element(tag, at, paths, *_judged(tag, attrs))
         elif m[0].startswith("<![CDATA[") and not at.drop:
             out.append((at, block, m[0][9:].removesuffix("]]>")))
     return out
 
 
-def path_ratios(nodes: list[tuple[_Element, int, str]]) -> list[float]:
-    """The fused ratio of each node's path, smoothed over the nodes in page order."""
+def path_ratios(nodes: list[tuple[_Element, int, str]]) -> tuple[list[float], list[float]]:
+    """The fused ratio of each node's path: smoothed over the nodes in page order, and as it is."""
     chars, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    sizes = []
     for element, _, text in nodes:
-        size = len("".join(text.split()))
-        sizes.append(size)
+        size = _size(text)
         chars[element.path] += size
         marks[element.path] += len(_PUNCT.findall(text))
         count[element.path] += size > 0
@@ -150,66 +160,155 @@ def path_ratios(nodes: list[tuple[_Element, int, str]]) -> list[float]:
             out.append(sum(w * v for w, v in pairs) / sum(w for w, _ in pairs))
         return out
 
-    length = smooth([chars[e.path] / max(1, count[e.path]) for e, _, _ in nodes])
-    pointed = smooth([(1 + marks[e.path]) / max(1, count[e.path]) for e, _, _ in nodes])
-    return [a * b for a, b in zip(length, pointed, strict=True)]
+    length = [chars[e.path] / max(1, count[e.path]) for e, _, _ in nodes]
+    pointed = [(1 + marks[e.path]) / max(1, count[e.path]) for e, _, _ in nodes]
+    return [a * b for a, b in zip(smooth(length), smooth(pointed), strict=True)], [a * b for a, b in zip(length, pointed, strict=True)]
+
+
+def _size(text: str) -> int:
+    return len("".join(text.split()))
+
+
+def _prose(nodes: list[tuple[_Element, int, str]]) -> tuple[list[int], list[bool], list[bool]]:
+    """(size of each node; whether it is prose; whether its path alone, not its neighbours', says so)."""
+    sizes = [_size(t) for _, _, t in nodes]
+    smoothed, own = path_ratios(nodes)
+    least = THRESHOLD * sum(r * s for r, s in zip(smoothed, sizes, strict=True)) / max(1, sum(sizes))
+    return sizes, [bool(s) and r >= least for r, s in zip(smoothed, sizes, strict=True)], [bool(s) and r >= least for r, s in zip(own, sizes, strict=True)]
+
+
+def _suspects(element: _Element):
+    """The suspects that hold the element, or are it, from the inside out."""
+    at = element.suspect
+    while at is not None:
+        yield at
+        at = at.parent.suspect if at.parent else None
+
+
+def unsuspected(nodes: list[tuple[_Element, int, str]]) -> list[tuple[_Element, int, str]]:
+    """The nodes outside forms and named elements, but for those of such elements that hold the prose.
+
+    A name alone doesn't part comments from prose, as both are prose by their ratios. So a suspect stays if it holds KEEPS of the
+    page's prose and a landmark (article, main, h1), or KEEPS_BARE of it where no landmark is elsewhere; and one of weak names
+    also if half its text is on paths that carry prose outside of suspects.
+    """
+    if all(e.suspect is None for e, _, _ in nodes):
+        return nodes
+    sizes, prose, own = _prose(nodes)
+    total = sum(s for s, p in zip(sizes, prose, strict=True) if p)
+    mass, marks, marked, seen, n_marks = defaultdict(int), defaultdict(int), set(), set(), 0
+    for (element, _, _), size, is_prose in zip(nodes, sizes, prose, strict=True):
+        if not size:
+            continue
+        if is_prose:
+            for s in _suspects(element):
+                mass[s] += size
+        while element is not None and element not in seen:
+            seen.add(element)
+            if element.tag in LANDMARKS:
+                n_marks += 1
+                for s in _suspects(element):
+                    marks[s] += 1
+                    if element.suspect is not element or s is element:
+                        marked.add(s)
+            element = element.parent
+    kept = {s for s, m in mass.items() if s in marked and m >= KEEPS * total or marks[s] == n_marks and m >= KEEPS_BARE * total}
+    plain = {e.path for (e, _, _), o in zip(nodes, own, strict=True) if o and all(s in kept for s in _suspects(e))}
+    on, size_of = defaultdict(int), defaultdict(int)
+    for (element, _, _), size in zip(nodes, sizes, strict=True):
+        for s in _suspects(element):
+            size_of[s] += size
+            on[s] += size * (element.path in plain)
+    kept |= {s for s in size_of if s.weak and size_of[s] and 2 * on[s] >= size_of[s]}
+    return [x for x in nodes if all(s in kept for s in _suspects(x[0]))]
+
+
+def _common(a: _Element, b: _Element) -> _Element:
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
 
 
 def _article(nodes: list[tuple[_Element, int, str]]) -> _Element | None:
-    """The innermost element that holds HOLDS of the prose."""
-    sizes = [len("".join(t.split())) for _, _, t in nodes]
-    total = sum(sizes)
-    if not total:
+    """The innermost element that holds HOLDS of the prose, widened to hold all that stands on paths of its own right.
+
+    An article element is widened only to prose on the paths that its own prose has.
+    """
+    sizes, prose, own = _prose(nodes)
+    if not sum(sizes):
         return None
-    ratios = path_ratios(nodes)
-    mean = sum(r * s for r, s in zip(ratios, sizes, strict=True)) / total
-    mass: dict[int, int] = defaultdict(int)
-    seen: dict[int, _Element] = {}
-    prose = 0
-    for (element, _, _), size, ratio in zip(nodes, sizes, ratios, strict=True):
-        if ratio >= THRESHOLD * mean and size:
-            prose += size
+    mass: dict[_Element, int] = defaultdict(int)
+    total = 0
+    for (element, _, _), size, is_prose in zip(nodes, sizes, prose, strict=True):
+        if is_prose:
+            total += size
             while element is not None:
-                mass[id(element)] += size
-                seen[id(element)] = element
+                mass[element] += size
                 element = element.parent
-    full = [e for k, e in seen.items() if mass[k] >= HOLDS * prose]
-    best = max(full, key=lambda e: e.depth, default=None)
+    best = max((e for e, m in mass.items() if m >= HOLDS * total), key=lambda e: e.depth, default=None)
     # an element inside a block, or a lone paragraph, is part of its article rather than the article
-    while best is not None and best.parent is not None and best.tag not in ("article", "main", "section", "div", "td", "body", "html", "#page", "center"):
+    while best is not None and best.parent is not None and best.tag not in ("article", "main", "section", "div", "form", "td", "body", "html", "#page", "center"):
         best = best.parent
     up = best
     while up is not None and up.tag != "article":
         up = up.parent
-    return up or best
+    if best is None:
+        return None
+    chosen = up or best
+    paths = {e.path for (e, _, _), o in zip(nodes, own, strict=True) if o and _common(e, chosen) is chosen} if up else None
+    for (element, _, _), o in zip(nodes, own, strict=True):
+        if o and (paths is None or element.path in paths):
+            chosen = _common(chosen, element)
+    return chosen
+
+
+def _title(nodes: list[tuple[_Element, int, str]], inside: list[bool]) -> int | None:
+    """The block of the last h1 before the article, if the article holds none."""
+    found = None
+    for (element, block, text), within in zip(nodes, inside, strict=True):
+        at = element
+        while at is not None and at.tag != "h1":
+            at = at.parent
+        if at is not None and text.strip():
+            if within:
+                return None
+            found = (block, False) if found is None or not found[1] else found
+        elif within and found:
+            found = (found[0], True)
+    return found[0] if found and found[1] else None
 
 
 def extract(page: str | None) -> str:
     """The article's blocks, joined by empty lines; empty for null, empty or textless pages."""
     if not page:
         return ""
-    nodes = text_nodes(page)
+    every = text_nodes(page)
+    nodes = unsuspected(every)
     chosen = _article(nodes)
     if chosen is None:  # everything calls itself something else
-        nodes = text_nodes(page, named=False)
+        nodes = every
         chosen = _article(nodes)
         if chosen is None:
             return ""
-    inside = {id(chosen): True}
+    known = {chosen: True}
 
     def within(element: _Element) -> bool:
         trail = []
-        while element is not None and id(element) not in inside:
+        while element is not None and element not in known:
             trail.append(element)
             element = element.parent
-        verdict = element is not None and inside[id(element)]
-        for e in trail:
-            inside[id(e)] = verdict
+        verdict = element is not None and known[element]
+        known.update((e, verdict) for e in trail)
         return verdict
 
+    inside = [within(e) for e, _, _ in nodes]
+    title = _title(nodes, inside)
     blocks: dict[int, list[str]] = {}
-    for element, block, text in nodes:
-        if within(element):
+    for (_, block, text), held in zip(nodes, inside, strict=True):
+        if held or block == title:
             blocks.setdefault(block, []).append(text)
     return "\n\n".join(b for b in (" ".join("".join(parts).split()) for parts in blocks.values()) if b)
 

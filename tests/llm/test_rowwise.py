@@ -101,6 +101,31 @@ def test_html_without_an_article_element():
     assert ht.extract(page).startswith("The & title\n\nFirst para") and "Nice article" not in ht.extract(page) and "Aside" not in ht.extract(page)
 
 
+SENTENCES = ["The first of the sentences is long enough, and it is well pointed, as prose is.", "Another one follows it, with as many words in it, and with commas, too.", "A third says little, but says it at some length, and then it ends."]
+
+
+def test_html_without_an_article_element_keeps_all_of_the_prose():
+    p = "".join(f"<p>{x}</p>" for x in SENTENCES)
+    first, second = f"<section><h2>One</h2>{p * 3}</section>", f"<section><h2>Two</h2>{p}<ul><li>Item</ul></section>"
+    text = "\n\n".join(["One", *SENTENCES * 3, "Two", *SENTENCES, "Item"])
+    assert ht.extract(f"<body><nav>Menu</nav><main>{first}{second}</main><div>Imprint</div><footer>x</footer></body>") == text
+    assert ht.extract(f"<body><div><a>Home</a> <a>Back</a></div><h1>Title</h1><div>{first}{second}</div><div>Imprint</div></body>") == "Title\n\n" + text
+    assert ht.extract(f"<body><article>{p * 4}</article><article>{p}</article></body>") == "\n\n".join(SENTENCES * 5)
+
+
+@pytest.mark.parametrize("around", ["<article class='post comments-open'>{}</article>", "<div class='has-sidebar'>{}</div>", "<form id=aspnet>{}</form>", "<div class='has-sidebar'><form><div>{}</div></form></div>"])
+def test_html_names_and_forms_do_not_drop_the_prose(around):
+    p = "".join(f"<p>{x}</p>" for x in SENTENCES)
+    comments = "<div class='comments'><p>Nice article, said a reader, who had read it all, or so they said.</p></div>"
+    own = f"<h1>Title</h1>{p * 3}"
+    for page in (own, own + comments):
+        got = ht.extract(f"<body><div>Skip to the text</div>{around.format(page)}<form><p>Your name?</p></form><div>Imprint</div></body>")
+        assert got == "\n\n".join(["Title", *SENTENCES * 3])
+    discussed = f"<body><main><section>{p}</section><section id='discussion'>{p}</section></main></body>"
+    assert ht.extract(discussed) == "\n\n".join(SENTENCES * 2)
+    assert "Nice" not in ht.extract(f"<body><article><h1>T</h1>{p}</article>{comments * 40}</body>")
+
+
 def test_html_of_the_tables_is_the_article(tables):
     import html
 
