@@ -21,6 +21,8 @@ TRAIN_DOCS = 8_000
 #: Words and n-grams (of each length) kept for a language, the commonest first: the model's size bound, so it can be broadcast.
 TOP_WORDS, TOP_GRAMS = 50_000, 5_000
 MAX_GRAM, MAX_LANGS = 5, 200
+#: Length of the n-grams whose known share tells whether a text is in its predicted language at all.
+TELLING = 3
 #: Unseen events weigh like this many.
 ALPHA = 0.5
 #: Letters of a word that count; a longer run of letters is cut into words of this length.
@@ -52,6 +54,19 @@ class Model:
     langs: list[str]
     events: dict[int, dict[str, int]] = field(default_factory=dict)
     scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    #: for each n-gram of TELLING characters, the languages that have it
+    telling: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def known_grams(self, tokens: list[str]) -> np.ndarray:
+        """A row for each token: its n-grams of TELLING characters, and those of them that each language has."""
+        out = np.zeros((len(tokens), 1 + len(self.langs)), np.int32)
+        for row, token in zip(out, tokens, strict=True):
+            for word in words_of(token):
+                for g in grams_of(word, TELLING):
+                    row[0] += 1
+                    if (held := self.telling.get(g)) is not None:
+                        row[1:] += held
+        return out
 
     def rows_of(self, word: str) -> list[int]:
         """The word's row; of an unseen word those of its longest n-grams of which any is known, whose mean is its score."""
@@ -90,6 +105,8 @@ def fit(counts: dict[int, dict[str, Counter]]) -> Model:
         names = sorted({e for c in by_lang.values() for e in c})
         held = np.array([[by_lang.get(lang, {}).get(e, 0) + ALPHA for lang in langs] for e in names])
         model.events[n] = {e: at + i for i, e in enumerate(names)}
+        if n == TELLING:
+            model.telling = dict(zip(names, held > ALPHA, strict=True))
         blocks.append(np.log(held / held.sum(0)))
         at += len(names)
     model.scores = np.concatenate(blocks) if blocks else np.zeros((0, 0))
@@ -106,12 +123,8 @@ def _flat(rows):
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on rows with text and a language. The driver gets TOP_WORDS and TOP_GRAMS events a language and length, no more.
-
-    Above max_docs rows, the share max_docs / rows of them is taken by a hash of the id. No usable row: a model without languages.
-    Of more than MAX_LANGS languages, the commonest are learned (ties: by name).
-    """
+def training_rows(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS) -> DataFrame:
+    """(text, lang, id) of the rows that `train` fits on."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id")).where("text is not null and lang is not null")
     langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     total = sum(r["count"] for r in langs)
@@ -119,6 +132,16 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         rows = rows.where(F.col("lang").isin([r["lang"] for r in langs[:MAX_LANGS]]))
     if total > max_docs:
         rows = rows.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30)) < int(max_docs / total * (1 << 30)))
+    return rows
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS) -> Model:
+    """Fit on rows with text and a language. The driver gets TOP_WORDS and TOP_GRAMS events a language and length, no more.
+
+    Above max_docs rows, the share max_docs / rows of them is taken by a hash of the id. No usable row: a model without languages.
+    Of more than MAX_LANGS languages, the commonest are learned (ties: by name).
+    """
+    rows = training_rows(labelled, text_col, lang_col, id_col, max_docs)
 
     def count_words(batches):
         held: dict[str, Counter] = {}
@@ -163,29 +186,36 @@ def _top():
 
 
 _FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+_COUNTED = T.StructType([*_FIELDS, T.StructField("_grams", T.LongType()), T.StructField("_known", T.LongType())])
 
 
 class Predictor:
     """Scores of whole columns of texts; a worker remembers the tokens that it has met."""
 
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
+    def __init__(self, model: Model, counted: bool = False):
+        self.model, self.known, self.counted = model, {}, counted
+        self.grams = np.zeros((0, 1 + len(model.langs)), np.int32)
         self.limit = max(1, min(CACHE_TOKENS, CACHE_BYTES // (8 * max(1, len(model.langs)))))
         self.scores, self.letters = np.zeros((0, len(model.langs))), np.zeros(0, bool)
 
     def _learn(self, tokens: list[str]) -> None:
         if len(self.known) + len(tokens) > self.limit:
             self.known = {}
-            self.scores, self.letters = self.scores[:0], self.letters[:0]
+            self.scores, self.letters, self.grams = self.scores[:0], self.letters[:0], self.grams[:0]
         scores, letters = self.model.of_tokens(tokens)
         self.known.update(zip(tokens, range(len(self.letters), len(self.letters) + len(tokens)), strict=True))
         self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
+        if self.counted:
+            self.grams = np.concatenate([self.grams, self.model.known_grams(tokens)])
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray, *tuple[np.ndarray, ...]]:
+        """The language and its share of the likelihood; `und` and 0 without letters or languages. Ties: the first name.
 
-    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """The language and its share of the likelihood; `und` and 0 without letters or languages. Ties: the first name."""
+        If counted, also the text's n-grams of TELLING characters and those of them that the language has.
+        """
         n, langs = len(texts), self.model.langs
         if not n or not langs:
-            return [UNKNOWN] * n, np.zeros(n)
+            return [UNKNOWN] * n, np.zeros(n), *([np.zeros(n, np.int64)] * 2 if self.counted else ())
         lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
         tokens = lists.flatten().dictionary_encode()
         names = tokens.dictionary.to_pylist()
@@ -201,17 +231,22 @@ class Predictor:
         lettered = np.bincount(owner, self.letters[rows], n) > 0
         best = total.argmax(1)
         share = 1 / np.exp(total - total[np.arange(n), best][:, None]).sum(1)
-        return [langs[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)], np.where(lettered, share, 0.0)
+        out = [langs[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)], np.where(lettered, share, 0.0)
+        if not self.counted:
+            return out
+        counts = [np.bincount(owner, self.grams[rows, column], n).astype(np.int64) for column in (0, 1 + best[owner])]
+        return *out, *counts
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", counted: bool = False) -> DataFrame:
     """Add lang_pred and score (the predicted language's share of the likelihood, 0 to 1); whole texts, no shuffle.
 
     `und` with score 0 for null, empty or letterless text, or when the model knows no language. Equal likelihoods: the first
     language by name. Repeated rows are judged each. Columns of docs called lang_pred or score are replaced.
+    If counted, also _grams and _known: the text's n-grams of TELLING characters, and those of them that its language has.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return append_columns(docs, _FIELDS, [text_col], lambda: Predictor(shared.value), limit=16 << 20, arrow=True)
+    return append_columns(docs, _COUNTED if counted else _FIELDS, [text_col], lambda: Predictor(shared.value, counted), limit=16 << 20, arrow=True)
 
 
 def held_out(id_col: str = "doc_id"):

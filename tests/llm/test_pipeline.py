@@ -38,3 +38,18 @@ def test_stages_keep_the_columns_and_survive_nothing(spark):
     for _, stage in cp.STAGES[:3]:
         odd = stage(spark, odd, SF)
     assert sorted((r["doc_id"] or 0, r["text"]) for r in odd.collect()) == [(0, "the text without an id"), (2, "the end of it")]
+
+
+FOREIGN = [
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "qwpx zvkj hgfd wqzx mnbv plkj xcvz tgbr qazw sxed crfv tgby hnuj miko lpqa zwsx edcr fvtg byhn ujmi kolp qwzx",
+]
+
+
+def test_languages_that_are_not_learned_are_dropped(spark):
+    docs = spark.read.parquet(str(DATA / "sf0.01" / "documents.parquet"))
+    foreign = spark.createDataFrame([(-1 - i, t * 5, None, "s", len(t)) for i, t in enumerate(FOREIGN)], docs.schema)
+    kept = {r["doc_id"] for r in cp.languages(spark, docs.unionByName(foreign), "").select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
