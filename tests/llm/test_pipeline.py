@@ -53,3 +53,12 @@ def test_languages_that_are_not_learned_are_dropped(spark):
     foreign = spark.createDataFrame([(-1 - i, t * 5, None, "s", len(t)) for i, t in enumerate(FOREIGN)], docs.schema)
     kept = {r["doc_id"] for r in cp.languages(spark, docs.unionByName(foreign), "").select("doc_id").collect()}
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_near_duplicates_keeps_different_texts_of_one_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a + " x"), (2, b), (2, c), (2, c), (None, c), (None, d), (None, d + " x"), (None, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = [(r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, SF).collect()]
+    assert len([r for r in got if r[0] is None and r[1] in (d, d + " x")]) == 1
+    assert sorted((r for r in got if r[1] not in (d, d + " x")), key=str) == sorted([(1, a), (2, b), (2, c), (None, None), (3, "")], key=str)
