@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -18,6 +19,8 @@ from .common import Scratch, append_columns, slices, table
 
 #: Labelled documents that the model is fitted on, about: a hash of the id picks them where there are more.
 TRAIN_DOCS = 8_000
+#: Labelled documents that each language keeps at least, about, or all that it has: the others share the rest by their size.
+LEAST_DOCS = 40
 #: Words and n-grams (of each length) kept for a language, the commonest first: the model's size bound, so it can be broadcast.
 TOP_WORDS, TOP_GRAMS = 50_000, 5_000
 MAX_GRAM, MAX_LANGS = 5, 200
@@ -124,21 +127,36 @@ def _flat(rows):
 
 
 def training_rows(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(text, lang, id) of the rows that `train` fits on."""
+    """(text, lang, id) of the rows that `train` fits on: all, or about max_docs by a hash of the id (without one, of the text)."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id")).where("text is not null and lang is not null")
     langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     total = sum(r["count"] for r in langs)
     if len(langs) > MAX_LANGS:
         rows = rows.where(F.col("lang").isin([r["lang"] for r in langs[:MAX_LANGS]]))
     if total > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30)) < int(max_docs / total * (1 << 30)))
+        shares = _shares({r["lang"]: r["count"] for r in langs[:MAX_LANGS]}, max_docs)
+        bound = F.create_map(*(F.lit(x) for lang, share in shares.items() for x in (lang, math.ceil(share * (1 << 30)))))[F.col("lang")]
+        rows = rows.where(F.pmod(F.xxhash64(F.coalesce("id", "text")), F.lit(1 << 30)) < bound)
     return rows
 
 
+def _shares(counts: dict[str, int], max_docs: int) -> dict[str, float]:
+    """The share of each language's rows to take: one share for all, but for languages that it would leave with under LEAST_DOCS."""
+    least = min(LEAST_DOCS, max(1, max_docs // len(counts)))
+    small: set[str] = set()
+    while True:
+        rest = max_docs - sum(min(least, counts[x]) for x in small)
+        share = min(1.0, max(0, rest) / max(1, sum(n for x, n in counts.items() if x not in small)))
+        more = {x for x, n in counts.items() if x not in small and n * share < min(least, n)}
+        if not more:
+            return {x: min(1.0, least / n) if x in small else share for x, n in counts.items()}
+        small |= more
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS) -> Model:
     """Fit on rows with text and a language. The driver gets TOP_WORDS and TOP_GRAMS events a language and length, no more.
 
-    Above max_docs rows, the share max_docs / rows of them is taken by a hash of the id. No usable row: a model without languages.
+    Above max_docs rows about max_docs are taken, of each language LEAST_DOCS at least. No usable row: a model without languages.
     Of more than MAX_LANGS languages, the commonest are learned (ties: by name).
     """
     rows = training_rows(labelled, text_col, lang_col, id_col, max_docs)

@@ -71,6 +71,18 @@ def test_language_id_backs_off_to_shorter_grams():
     assert model.rows_of("xd") == [model.events[1]["d"]] and model.rows_of("qq") == []
 
 
+def test_language_id_learns_rare_languages(spark):
+    rows = [(i, f"the cat and the dog {i}", "en") for i in range(3000)] + [(5000 + i, "der hund und die katze", "de") for i in range(3)] + [(None, "le chat et le chien", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = {r["lang"]: r["count"] for r in li.training_rows(docs, max_docs=200).groupBy("lang").count().collect()}
+    assert taken["de"] == 3 and taken["fr"] == 1 and 120 < taken["en"] < 280
+    model = li.train(docs, max_docs=200)
+    assert [r["lang_pred"] for r in li.identify(docs.where("lang <> 'en'"), model).collect()] == ["de"] * 3 + ["fr"]
+    assert li._shares({"a": 1486, "b": 6062, "c": 1508, "d": 944}, 8000) == dict.fromkeys("abcd", 0.8)
+    many = li._shares({str(k): 10**6 for k in range(199)} | {"rare": 41}, 8000)
+    assert many["rare"] == 40 / 41 and abs(many["0"] * 10**6 - 40) < 1
+
+
 def test_language_id_edges(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog", "en", 9), (2, "der hund und die katze", "de", 9), (None, None, None, 9), (4, "123 !!", "en", 9), (4, "", None, 9), (4, "the the", None, 9)], "doc_id long, text string, lang string, score int")
     model = li.train(docs)
