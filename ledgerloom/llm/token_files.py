@@ -11,13 +11,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
-import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,20 +23,20 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from . import simple8b
-from .common import Scratch, shared_dir, slices, table
+from .common import Memory, Scratch, held, joined, segments, shared_dir, slices, table
 
 MAGIC = b"S8BTOK01"
-#: Ids held before a file is closed; a longer document still stays in one file.
+#: Ids after which a file is closed; a longer document still stays in one file.
 FILE_IDS = 4 << 20
-#: Text bytes whose words are looked up together.
-BATCH_BYTES = 8 << 20
-#: New words that the model gets as one text.
+#: Ids that a file's writer or reader holds at once, whole blocks (a longer document is read whole).
+HELD_IDS = 256 * simple8b.BLOCK
+#: Text bytes whose segments are looked up together.
+BATCH_BYTES = 4 << 20
+#: New segments that the model gets as one text.
 TOGETHER = 16
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 900_000
+#: Segments whose ids a worker remembers, and their bytes.
+CACHE_WORDS, CACHE_BYTES = 600_000, 128 << 20
 
-#: Marks in word lists: a line feed; a word that no space comes before.
-_GAP, _BARE = "\x02", "\x01"
 #: White space of the pre-tokenizer's pattern.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What sends a text to be encoded whole: adjoining white space, white space or controls besides space and line feed, either at the end.
@@ -46,8 +44,22 @@ _PLAIN = re.compile(rf"[{_SPACE}][{_SPACE}]|[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u2
 #: Bytes of texts that can't hold any of those: then the pattern needn't be searched.
 _ORDINARY = bytes(b for b in range(256) if b in b"\n " or 33 <= b and b not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3))
 _ADJOINING = (b"  ", b" \n", b"\n ", b"\n\n")
-#: Words up to this character are split by the pattern here; Unicode tables of two libraries could differ beyond.
-_LATIN = "\u024f"
+#: Segments that are one pre-token by the pattern; letters up to U+024F, as Unicode tables of two libraries could differ beyond.
+_ONE = re.compile("[ ]?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+)")
+
+
+def _parting() -> np.ndarray:
+    """Whether a plain text's pre-tokens surely part between two bytes: at a space, around a line feed, between kinds of ASCII.
+
+    An apostrophe may begin a contraction, and other characters are of any kind, so nothing else is cut next to those.
+    """
+    kind = np.full(256, 9)  # ASCII letters, digits and signs are 1 to 3
+    for b in range(33, 127):
+        kind[b] = 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 9 if chr(b) == "'" else 3
+    out = (kind[:, None] != kind) & (kind[:, None] < 9) & (kind < 9)
+    out[:, [10, 32]] = True
+    out[10] = True
+    return out
 
 
 def _alphabet() -> np.ndarray:
@@ -62,63 +74,59 @@ def _alphabet() -> np.ndarray:
 class ByteBpe:
     """Ids of texts under a byte-level BPE file of the tokenizers library.
 
-    A text whose white space is single spaces and line feeds is a sequence of words that the pre-tokenizer always parts, so
-    words are encoded once by the library and remembered; any other text is encoded whole.
+    A text whose white space is single spaces and line feeds is cut where the pre-tokenizer always parts it; distinct segments of
+    a batch are encoded once by the library and remembered. Any other text is encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.newline = self.whole("\n")
-        # the file's own model behind a cheaper splitter: words are split and spelled here, in bulk
+        self.memory = Memory(CACHE_WORDS, CACHE_BYTES)
+        newline = self.whole("\n")
+        self.gap_id = int(np.frombuffer(newline, "<u4")[0])
+        # the file's own model behind a cheaper splitter: segments of one pre-token are spelled here, in bulk
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.alphabet = _alphabet()
-        self.alphabet[0] = ord(" ")
-        self.gap = chr(self.alphabet[10])
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.parts = len(self.newline) == 4 and all(self.whole(x) == self.by_word([x])[0] for x in ("a's b1,", " \u00dcber-12.", "x"))
+        self.alphabet[0], self.alphabet[1] = ord(" "), 1
+        self.parting = _parting().ravel()
+        probes = [b"abc", b" \xc3\x9cber", b"12", b" -.", b" x"]
+        self.parts = len(newline) == 4 and self.one_by_one(probes) == [self.whole(x.decode()) for x in probes]
+        self.parts = self.parts and self.whole("a, b1\nc.d") == b"".join(map(self.whole, ("a", ",", " b", "1", "\n", "c", ".", "d")))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def by_word(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts without line feeds or NUL: all pre-tokens spelled in the vocabulary's alphabet at once, then the model.
+    def one_by_one(self, words: list[bytes]) -> list[bytes]:
+        """Ids of segments that are one pre-token each: all spelled in the vocabulary's alphabet at once, then the model.
 
-        The model gets many texts as one, parted by the spelling of a line feed, whose id then parts their ids.
+        The model gets many as one text, parted by the spelling of a line feed, whose id then parts their ids.
         """
-        parted, out = self.pattern.findall("\n".join(texts)), []
-        spelled = np.frombuffer("\x00".join(parted).encode(), np.uint8)
-        spelled = self.alphabet[spelled].tobytes().decode("utf-32-le").split(self.gap)
-        joined = [f"{self.gap}".join(spelled[i : i + TOGETHER]) for i in range(0, len(spelled), TOGETHER)]
-        gap = int(np.frombuffer(self.newline, "<u4")[0])
-        for e in self.model.encode_batch_fast([x.replace(self.gap, f" {self.gap} ") for x in joined], add_special_tokens=False):
-            ids = np.array(e.ids, "<u4")
-            ends = [*np.flatnonzero(ids == gap).tolist(), len(ids)]
-            begins = [0, *(x + 1 for x in ends[:-1])]
-            data = ids.tobytes()
-            out += [data[4 * x : 4 * y] for x, y in zip(begins, ends, strict=True)]
+        groups = [b"\x00\n\x00".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        spelled = self.alphabet[np.frombuffer(b"\x01".join(groups), np.uint8)].tobytes().decode("utf-32-le").split("\x01")
+        found = self.model.encode_batch_fast(spelled, add_special_tokens=False)
+        flat: list[int] = []
+        for e in found:
+            flat += e.ids
+            flat.append(self.gap_id)
+        ids = np.array(flat, "<u4")
+        ends = np.flatnonzero(ids == self.gap_id) * 4
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        one = [i for i, w in enumerate(words) if _ONE.fullmatch(w.decode("utf-8", "surrogatepass"))]
+        for i in set(range(len(words))).difference(one):
+            out[i] = self.whole(words[i].decode("utf-8", "surrogatepass"))
+        for a in range(0, len(one), 50_000):
+            part = one[a : a + 50_000]
+            for i, ids in zip(part, self.one_by_one([words[i] for i in part]), strict=True):
+                out[i] = ids
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of words; the marked line feed is among them always."""
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        words = [w for w in words if w != _GAP]
-        self.known[_GAP] = self.newline
-        texts = [w[1:] if w[0] == _BARE else f" {w}" for w in words]
-        if not texts or max("".join(texts), default="") > _LATIN or "" in texts:
-            latin = [i for i, t in enumerate(texts) if t and max(t) <= _LATIN]
-            for i in set(range(len(words))).difference(latin):
-                self.known[words[i]] = self.whole(texts[i])
-            words, texts = [words[i] for i in latin], [texts[i] for i in latin]
-        for i in range(0, len(texts), 50_000):
-            found = self.by_word(texts[i : i + 50_000])
-            self.known.update(zip(words[i : i + 50_000], found, strict=True))
-
     def plain(self, data: bytes) -> bool:
         """Whether words are parted by single spaces and line feeds alone."""
         if not self.parts or data[0] in b" \n" or data[-1] in b" \n" or any(x in data for x in _ADJOINING):
@@ -126,44 +134,29 @@ class ByteBpe:
         return not data.translate(None, _ORDINARY) or not _PLAIN.search(data.decode("utf-8", "surrogatepass"))
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in turn, number of ids of each): distinct words are found by Arrow, and looked up once."""
-        data = texts.cast(pa.binary()).to_pylist()
-        plain = [bool(d) and self.plain(d) for d in data]
-        counts = np.zeros(len(data), np.int64)
-        rows = np.flatnonzero(plain)
-        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(_BARE), pc.replace_substring(texts.take(pa.array(rows)).cast(pa.string()), "\n", f" {_GAP} {_BARE}"), ""), " ")
-        words = lists.flatten().dictionary_encode()
-        names, number = words.dictionary.to_pylist(), words.indices.to_numpy()
-        ids = list(map(self.known.get, names))
-        missing = [w for w, x in zip(names, ids, strict=True) if x is None]
-        if missing:
-            self.learn(missing)
-            ids = list(map(self.known.get, names))
-            if None in ids:  # the memory was emptied for this batch's new words
-                self.learn([w for w, x in zip(names, ids, strict=True) if x is None])
-                ids = [self.known.get(w) or self.whole(w[1:] if w[0] == _BARE else f" {w}") for w in names]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        starts = np.cumsum(sizes) - sizes
-        many = sizes[number]
-        ends = np.cumsum(many)
-        place = np.arange(int(ends[-1]) if len(ends) else 0)
-        place += np.repeat(starts[number] - (ends - many), many)
-        made = flat[place]
-        if len(rows):
-            bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-            counts[rows] = np.diff(bounds)
-        if len(rows) == len(data):
-            return made, counts
-        parts, at = [], 0
+        """(ids of all texts in turn, number of ids of each); null texts have none."""
+        texts = pc.fill_null(texts.cast(pa.binary()), b"")
+        data = texts.to_numpy(zero_copy_only=False).tolist()
+        plain = np.array([bool(d) and self.plain(d) for d in data], bool)
+        raw = np.frombuffer(b"".join(d for d, p in zip(data, plain, strict=True) if p), np.uint8)
+        bounds = np.append(0, np.cumsum([len(d) for d, p in zip(data, plain, strict=True) if p])).astype(np.int64)
+        made, many = np.empty(0, "<u4"), np.empty(0, np.int64)
+        if len(raw):
+            cut = np.zeros(len(raw), bool)
+            cut[1:] = self.parting[raw[:-1].astype(np.uint16) << 8 | raw[1:]]
+            names, number, places = segments(raw, cut, bounds)
+            made, many = joined(self.memory.look_up(names, self.learn), number, places)
+        if plain.all():
+            return made, many
+        counts, parts, at = np.zeros(len(data), np.int64), [], 0
+        counts[plain] = many
         for i, d in enumerate(data):
             if not plain[i]:
-                part = np.frombuffer(self.whole(d.decode("utf-8", "surrogatepass")), "<u4") if d else made[:0]
-                counts[i] = len(part)
+                parts.append(np.frombuffer(self.whole(d.decode("utf-8", "surrogatepass")), "<u4") if d else made[:0])
+                counts[i] = len(parts[-1])
             else:
-                part = made[at : at + counts[i]]
+                parts.append(made[at : at + counts[i]])
                 at += counts[i]
-            parts.append(part)
         return np.concatenate(parts) if parts else made, counts
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -174,14 +167,8 @@ class ByteBpe:
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
-_LOADED: dict[str, ByteBpe] = {}
-
-
 def byte_bpe(path: str) -> ByteBpe:
-    if path not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path] = ByteBpe(path)
-    return _LOADED[path]
+    return held(("bytes", path), lambda: ByteBpe(path))
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -190,37 +177,61 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), re.sub(r"^file:(//)?", "", uri)
 
 
-@contextmanager
-def _written(uri: str):
-    """A new file that gets its name only when it is whole."""
-    store, path = _place(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(f"{path}.tmp") as out:
-        yield out
-    store.move(f"{path}.tmp", path)
+class TokenFile:
+    """A new file under a temporary name, which `close` exchanges for its own; it holds few blocks' ids at once."""
+
+    def __init__(self, uri: str):
+        self.store, self.path = _place(uri)
+        self.store.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.out = self.store.open_output_stream(f"{self.path}.tmp")
+        self.out.write(MAGIC)
+        self.at, self.ids, self.held, self.pending = len(MAGIC), 0, 0, []
+        self.index: list[np.ndarray] = []
+        self.docs: list[tuple[int, bool, int]] = []
+
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        self.docs.append((doc or 0, doc is None, len(ids)))
+        self.pending.append(ids)
+        self.ids += len(ids)
+        self.held += len(ids)
+        if self.held >= HELD_IDS:
+            self._flush(False)
+
+    def _flush(self, last: bool) -> None:
+        ids = np.concatenate(self.pending) if self.pending else np.empty(0, "<u4")
+        whole = len(ids) if last else len(ids) - len(ids) % simple8b.BLOCK
+        for a in range(0, whole, HELD_IDS):
+            words, exceptions, n_words, n_exceptions = simple8b.encode(ids[a : min(a + HELD_IDS, whole)])
+            word_at, exception_at = np.cumsum(n_words) - n_words, np.cumsum(n_exceptions) - n_exceptions
+            self.index.append(np.stack([self.at + 8 * (word_at + exception_at), n_words, n_exceptions], 1).astype("<i8"))
+            if len(exceptions):
+                for w, nw, e, ne in zip(word_at, n_words, exception_at, n_exceptions, strict=True):
+                    self.out.write(words[w : w + nw].astype("<u8").tobytes() + exceptions[e : e + ne].astype("<u8").tobytes())
+            else:
+                self.out.write(words.astype("<u8").tobytes())
+            self.at += 8 * (len(words) + len(exceptions))
+        self.pending = [ids[whole:].copy()] if whole < len(ids) else []
+        self.held = len(ids) - whole
+
+    def close(self) -> int:
+        self._flush(True)
+        index = np.concatenate(self.index) if self.index else np.empty((0, 3), "<i8")
+        self.out.write(index.tobytes() + np.array(self.docs, "<i8").reshape(-1, 3).tobytes())
+        self.out.write(np.array([len(index), len(self.docs), self.ids], "<i8").tobytes() + MAGIC)
+        self.out.close()
+        self.store.move(f"{self.path}.tmp", self.path)
+        return self.ids
 
 
 def write_file(uri: str, docs: list[tuple[int | None, np.ndarray]]) -> int:
-    lengths = np.array([len(x) for _, x in docs], "<i8")
-    ids = np.concatenate([x for _, x in docs]).astype(np.uint64)
-    words, exceptions, n_words, n_exceptions = simple8b.encode(ids)
-    word_at, exception_at = np.cumsum(n_words) - n_words, np.cumsum(n_exceptions) - n_exceptions
-    index = np.stack([len(MAGIC) + 8 * (word_at + exception_at), n_words, n_exceptions], 1).astype("<i8")
-    with _written(uri) as out:
-        out.write(MAGIC)
-        if len(exceptions):
-            for w, nw, e, ne in zip(word_at, n_words, exception_at, n_exceptions, strict=True):
-                out.write(words[w : w + nw].astype("<u8").tobytes() + exceptions[e : e + ne].astype("<u8").tobytes())
-        else:
-            out.write(words.astype("<u8").tobytes())
-        out.write(index.tobytes())
-        out.write(np.stack([np.array([d or 0 for d, _ in docs], "<i8"), np.array([d is None for d, _ in docs], "<i8"), lengths], 1).tobytes())
-        out.write(np.array([len(index), len(docs), len(ids)], "<i8").tobytes() + MAGIC)
-    return len(ids)
+    out = TokenFile(uri)
+    for doc, ids in docs:
+        out.add(doc, ids)
+    return out.close()
 
 
-def read_file(uri: str) -> tuple[np.ndarray, list[tuple[int | None, int]]]:
-    """All ids of a file, and (id, number of ids) of its documents."""
+def read_docs(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
+    """The documents of a file in turn, (id, ids); few blocks, or one document, are held at once."""
     store, path = _place(uri)
     with store.open_input_file(path) as f:
         size = f.size()
@@ -231,17 +242,39 @@ def read_file(uri: str) -> tuple[np.ndarray, list[tuple[int | None, int]]]:
         at = size - 24 - len(MAGIC) - 24 * (n_blocks + n_docs)
         tables = np.frombuffer(f.read_at(24 * (n_blocks + n_docs), at), "<i8").reshape(-1, 3)
         index, docs = tables[:n_blocks], tables[n_blocks:]
-        data = np.frombuffer(f.read_at(at - len(MAGIC), len(MAGIC)), "<u8")
+        step, block, begin, found = HELD_IDS // simple8b.BLOCK, 0, 0, 0
+        ids = np.empty(0, "<u4")
+        for doc, null, n in docs.tolist():
+            parts = [ids[begin:]]
+            have = len(parts[0])
+            while have < n:
+                if block >= n_blocks:
+                    raise ValueError(f"{uri} holds {found} ids instead of {n_ids}")
+                part = _blocks_of(f, index[block : block + step])
+                block, found, have = block + step, found + len(part), have + len(part)
+                parts.append(part)
+            if len(parts) > 1:
+                ids, begin = np.concatenate(parts), 0
+            yield (None if null else doc), ids[begin : begin + n]
+            begin += n
+        if found != n_ids or begin != len(ids):
+            raise ValueError(f"{uri} holds {found} ids instead of {n_ids}")
+
+
+def _blocks_of(f, index: np.ndarray) -> np.ndarray:
+    """Ids of consecutive blocks."""
     n_words, n_exceptions = index[:, 1], index[:, 2]
+    data = np.frombuffer(f.read_at(8 * int(n_words.sum() + n_exceptions.sum()), int(index[0, 0])), "<u8")
     if n_exceptions.any():
-        kind = np.repeat(np.tile([False, True], n_blocks), np.stack([n_words, n_exceptions], 1).ravel())
-        words, exceptions = data[~kind], data[kind]
-    else:
-        words, exceptions = data, data[:0]
-    ids = simple8b.decode(words, exceptions, n_words, n_exceptions)
-    if len(ids) != n_ids:
-        raise ValueError(f"{uri} holds {len(ids)} ids instead of {n_ids}")
-    return ids, [(None if null else d, n) for d, null, n in docs.tolist()]
+        kind = np.repeat(np.tile([False, True], len(index)), np.stack([n_words, n_exceptions], 1).ravel())
+        return simple8b.decode(data[~kind], data[kind], n_words, n_exceptions).astype("<u4")
+    return simple8b.decode(data, data[:0], n_words, n_exceptions).astype("<u4")
+
+
+def read_file(uri: str) -> tuple[np.ndarray, list[tuple[int | None, int]]]:
+    """All ids of a file, and (id, number of ids) of its documents."""
+    docs = [(doc, ids) for doc, ids in read_docs(uri)]
+    return np.concatenate([ids for _, ids in docs]) if docs else np.empty(0, "<u4"), [(doc, len(ids)) for doc, ids in docs]
 
 
 def read_block(uri: str, block: int) -> np.ndarray:
@@ -274,27 +307,27 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, bpe, seq, held, size = TaskContext.get().partitionId(), byte_bpe(tokenizer), 0, [], 0
+        part, bpe, seq, out = TaskContext.get().partitionId(), byte_bpe(tokenizer), 0, None
         end = np.array([end_id], "<u4")
 
-        def close():
-            path = f"{root}/part-{part:06d}-{seq:06d}-{uuid.uuid4().hex}.s8b"
-            total = write_file(path, held)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [path], "n_docs": [len(held)], "n_ids": [total]})
+        def closed():
+            total = out.close()
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [name], "n_docs": [len(out.docs)], "n_ids": [total]})
 
         for batch in batches:
             for piece in slices(batch, ["text"], BATCH_BYTES):
                 found, many = bpe.encode_column(piece.column(1))
                 bounds = np.cumsum(many)
-                for doc, stop, size_ in zip(piece.column(0).to_pylist(), bounds.tolist(), many.tolist(), strict=True):
-                    ids = np.concatenate([found[stop - size_ : stop], end])
-                    if held and size + len(ids) > file_ids:
-                        yield close()
-                        seq, held, size = seq + 1, [], 0
-                    held.append((doc, ids))
-                    size += len(ids)
-        if held:
-            yield close()
+                for doc, stop, n_ids in zip(piece.column(0).to_pylist(), bounds.tolist(), many.tolist(), strict=True):
+                    if out and out.ids + n_ids + 1 > file_ids:
+                        yield closed()
+                        seq, out = seq + 1, None
+                    if out is None:
+                        name = f"{root}/part-{part:06d}-{seq:06d}-{uuid.uuid4().hex}.s8b"
+                        out = TokenFile(name)
+                    out.add(doc, np.concatenate([found[stop - n_ids : stop], end]))
+        if out:
+            yield closed()
 
     return rows.mapInArrow(run, MANIFEST)
 
@@ -312,12 +345,20 @@ def read_token_files(manifest: DataFrame, per_doc, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, docs = read_file(path)
-                ends = np.cumsum([n for _, n in docs])
-                starts = ends - [n for _, n in docs]
-                made = [per_doc(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array(base + starts, pa.int64()), pa.array(ends - starts, pa.int64()), *(pa.array(x) for x in zip(*made, strict=True))], names=["doc_id", "start", "n_tokens", *extra])
+            for path, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = []
+                for doc, ids in read_docs(path):
+                    rows.append((doc, at, len(ids), *per_doc(ids)))
+                    at += len(ids)
+                    if len(rows) >= 10_000:
+                        yield made(rows)
+                        rows = []
+                if rows:
+                    yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        doc, start, n_tokens, *more = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (doc, start, n_tokens)), *map(pa.array, more)], names=["doc_id", "start", "n_tokens", *extra])
 
     return placed.mapInArrow(run, full)
 
