@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, table
+from .common import Scratch, append_columns, held, table
 
 WINDOW = 10
 #: Item text that one automaton holds: its nodes are at most WINDOW times as many. More text makes more automata, each scanned in turn.
@@ -53,19 +53,17 @@ def blocks(items: Iterable[tuple[str, str | None]], size: int, limit: int) -> It
         yield [(w, n, sorted(ids)) for (w, n), ids in held.items()]
 
 
-_BUILT: dict[str, ahocorasick.Automaton] = {}
-
-
 def automaton(key: str, patterns: list[tuple[str, int, list[str]]]) -> ahocorasick.Automaton:
-    """Built once in a worker and kept for its next tasks; only the last is kept."""
-    if key not in _BUILT:
-        _BUILT.clear()
+    """Built once in a worker and kept for its next tasks."""
+
+    def make():
         a = ahocorasick.Automaton()
         for i, (w, n, _) in enumerate(patterns):
             a.add_word(f" {w} ", (i, len(w) + 2, n))
         a.make_automaton()
-        _BUILT[key] = a
-    return _BUILT[key]
+        return a
+
+    return held(("items", key), make)
 
 
 def scan(a: ahocorasick.Automaton, norm: str) -> tuple[list[tuple[int, int]], set[int]]:
@@ -103,27 +101,38 @@ _FIELDS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Add n_words, n_hit, items (ids with an occurring window, as sorted strings), runs (of words) and spans (of code points).
 
-    No shuffle: one pass over the texts for each block of the benchmark, which is one pass for usual benchmarks.
+    No shuffle: one pass over the texts for each block of the benchmark, which is one pass for usual benchmarks; between passes the
+    table is written to the shared folder.
     Null and empty texts have no words and no hits; null item texts have no windows; a null item id counts as "null".
     Repeated rows are judged each; repeated items add nothing. Columns of docs with the added names are replaced.
-    The benchmark's size is bounded by blocks, not assumed: the driver holds one block's items at a time.
+    The benchmark's size is bounded by blocks, not assumed: the driver and each worker hold one block's items (the driver also the
+    next block's) at a time.
     """
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")), F.col(item_text_col)).toLocalIterator()
     none = F.array().cast("array<string>")
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "n_hit": F.lit(None).cast("long"), "items": none, "runs": F.array().cast(_RUNS), "spans": F.array().cast(_RUNS)})
-    found = [*blocks(((r[0], r[1]) for r in items), window, block_chars)] or [[]]
-    for k, patterns in enumerate(found):
-        out = append_columns(out, _FIELDS, [text_col, "items", "runs"], _pass(docs.sparkSession, patterns, k + 1 == len(found)))
-    return out
-
-
-def _pass(spark: SparkSession, patterns: list[tuple[str, int, list[str]]], last: bool):
-    shared = spark.sparkContext.broadcast(patterns)
+    scratch, passes = Scratch(docs.sparkSession), 0
+    following = blocks(((r[0], r[1]) for r in items), window, block_chars)
+    patterns = next(following, [])
+    while True:
+        after = next(following, None)
+        shared = docs.sparkSession.sparkContext.broadcast(patterns)
+        out = append_columns(out, _FIELDS, [text_col, "items", "runs"], _pass(shared, patterns, after is None))
+        if after is None:
+            return out
+        out = scratch.keep(out, f"pass-{passes}")
+        shared.unpersist()
+        if passes:
+            scratch.drop(f"pass-{passes - 1}")
+        patterns, passes = after, passes + 1
+
+
+def _pass(shared, patterns: list[tuple[str, int, list[str]]], last: bool):
     key = hashlib.sha256(repr(patterns).encode("utf-8", "surrogatepass")).hexdigest()
 
     def make():
-        held = shared.value
-        a = automaton(key, held) if held else None
+        known = shared.value
+        a = automaton(key, known) if known else None
 
         def work(texts, items, runs):
             out: tuple[list, ...] = ([], [], [], [], [])
@@ -131,7 +140,7 @@ def _pass(spark: SparkSession, patterns: list[tuple[str, int, list[str]]], last:
                 norm = "" if text is None else normalise(text).decode("utf-8", "surrogatepass")
                 now, numbers = scan(a, norm) if a and norm else ([], set())
                 every = merge([*now, *((r["start"], r["end"]) for r in before)])
-                ids = sorted({*had, *(i for n in numbers for i in held[n][2])})
+                ids = sorted({*had, *(i for n in numbers for i in known[n][2])})
                 row = (norm.count(" ") + 1 if norm else 0, sum(b - s for s, b in every), ids, [{"start": s, "end": b} for s, b in every], spans_of(text, every) if last and every else [])
                 for column, value in zip(out, row, strict=True):
                     column.append(value)

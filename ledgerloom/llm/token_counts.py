@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import pieces
-from .common import append_columns, table
+from .common import append_columns, held, table
 
 #: What an unknown character costs beyond the least score.
 UNKNOWN_PENALTY = 10.0
@@ -71,14 +71,8 @@ class Counter:
         return total, score
 
 
-_LOADED: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path] = Counter(pieces.load(path))
-    return _LOADED[path]
+    return held(("counts", path), lambda: Counter(pieces.load(path)))
 
 
 _FIELDS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())])
