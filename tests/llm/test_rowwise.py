@@ -95,6 +95,53 @@ def test_language_id_edges(spark):
     assert li.identify(long, model).first()["lang_pred"] == "en"
 
 
+def test_language_id_unseen_letters_numbers_and_marks(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string")
+    model = li.train(docs)
+    texts = ["the cat 日本語", "日本語", "½ ² Ⅷ", "١٢٣ 12", "the ½ cat", "naïve", "nai\u0308ve", "\u0308 the", "X" * 200 + " the"]
+    out = {r["k"]: (r["lang_pred"], r["score"]) for r in li.identify(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        lang, score = brute_predict(model, text)
+        assert out[k][0] == lang and abs(out[k][1] - score) < 1e-9, text
+    assert out[0][0] == "en" and out[1] == ("de", 0.5) and out[2] == out[3] == ("und", 0.0) and out[4][0] == "en"
+    assert li.words_of("nai\u0308ve Ab½c²") == ["nai\u0308ve", "ab", "c"]
+    joined = li.words_in(["nai\u0308ve Ab½c²", "", "\u0308x", "y" * 130])
+    assert [(int(o), "".join(map(chr, joined.codes[a : a + n]))) for a, n, o in zip(joined.start, joined.size, joined.owner, strict=True)] == [(0, "nai\u0308ve"), (0, "ab"), (0, "c"), (2, "x"), (3, "y" * 64), (3, "y" * 64), (3, "yy")]
+
+
+def test_language_id_train_against_brute_force(spark, tables):
+    from collections import Counter
+
+    rows = tables.sql("SELECT doc_id, text, lang FROM documents WHERE doc_id < 120").fetchall() + [(-1, "a\nb  A", "xx"), (-2, None, "yy"), (-3, "c", None), (-4, "12", "zz")]
+    counts = {n: {} for n in range(li.MAX_GRAM + 1)}
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            for word in li.words_of(text):
+                counts[0].setdefault(lang, Counter())[word] += 1
+                for n in range(1, li.MAX_GRAM + 1):
+                    counts[n].setdefault(lang, Counter()).update(li.grams_of(word, n))
+    model = li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert model.langs == sorted(counts[0])
+    for n, by_lang in counts.items():
+        names = sorted({e for c in by_lang.values() for e in c})
+        assert len(model.events[n]) == len(names)
+        total = {x: sum(by_lang[x].values()) + li.ALPHA * len(names) for x in by_lang}
+        for event in names[:: max(1, len(names) // 300)]:
+            want = [math.log((by_lang[x][event] + li.ALPHA) / total[x]) for x in sorted(by_lang)]
+            assert all(abs(a - b) < 1e-9 for a, b in zip(model.scores[model.events[n][event]], want, strict=True)), event
+
+
+def test_language_id_knows_300_languages(spark):
+    rng = random.Random(9)
+    said = {f"l{k:03}": " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)) for k in range(300)}
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(sorted(said.items()))], "doc_id long, text string, lang string")
+    model = li.train(docs, max_docs=400)
+    assert len(model.langs) == 300
+    assert all(r["lang"] == r["lang_pred"] and r["score"] > 0.9 for r in li.identify(docs, model).collect())
+    few = li.train(docs, max_docs=100)
+    assert 0 < len(few.langs) <= 300
+
+
 # HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li>menu</ul></nav>
