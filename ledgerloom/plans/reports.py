@@ -77,8 +77,8 @@ def report_median_label(spark, d):
 
 
 @query(f"""WITH {RUNS}, b AS (
-  SELECT condition, model, string_agg(DISTINCT CASE WHEN fidelity < 0.5 THEN '<0.5' WHEN fidelity < 0.95 THEN '0.5-0.95' WHEN fidelity <= 1.05 THEN '~1.0' ELSE '>1.0' END, '|' ORDER BY
-         CASE WHEN fidelity < 0.5 THEN '<0.5' WHEN fidelity < 0.95 THEN '0.5-0.95' WHEN fidelity <= 1.05 THEN '~1.0' ELSE '>1.0' END) FILTER (WHERE fidelity IS NOT NULL) AS bands
+  SELECT condition, model, string_agg(DISTINCT CASE WHEN fidelity < 0.5 THEN '<0.5' WHEN fidelity < 0.95 THEN '0.5-0.95' WHEN fidelity <= 1.0 THEN '~1.0' ELSE '>1.0' END, '|' ORDER BY
+         CASE WHEN fidelity < 0.5 THEN '<0.5' WHEN fidelity < 0.95 THEN '0.5-0.95' WHEN fidelity <= 1.0 THEN '~1.0' ELSE '>1.0' END) FILTER (WHERE fidelity IS NOT NULL) AS bands
   FROM runs GROUP BY condition, model)
 SELECT CASE WHEN bands IS NULL THEN condition ELSE condition || '/fid' || bands END AS label, model, count(score) AS n, round(avg(score), 6) AS mean
 FROM runs JOIN b USING (condition, model) GROUP BY 1, 2""")

@@ -30,7 +30,7 @@ def test_keys(spark):
     names = "arm string, signal string, vocabulary string, catalogue_size int, pin_units boolean, describe_catalogue boolean, embed_nested boolean, strict_readings boolean, orchestration string, shortlist_k int, plan_retry boolean, unit_match string, reasoning string, language string, output_form string"
     df = spark.createDataFrame([("flat", "label", None, 20, True, False, False, False, "multi", 5, True, "physical", "low", "en", "json")], names)
     assert df.select(conditions.report_key(F.lit("~1.0"))).first()[0] == "flat/label/n20/units/multi(k5)/retry/physical/think:low/en/fid~1.0"
-    assert df.select(conditions.runner_key()).first()[0] == "flat/label//bare/multi/n20/physical/retry/think:low/en"
+    assert df.select(conditions.runner_key()).first()[0] == "flat/label//bare/multi(k5)/n20/physical/retry/think:low/en"
     m = spark.createDataFrame([({"a": "1", "b": "2"}, {"a": "1", "c": "3"}, True), (None, {"a": "1"}, True), ({"a": "1"}, {"a": "1"}, True), (None, {}, False)], "d map<string,string>, x map<string,string>, t boolean")
     assert [r[0] for r in m.select(conditions.training_status("d", "x", "t")).collect()] == ["mismatched", "undeclared", "matched", "base"]
     assert m.select(conditions.differing("d", "x")).first()[0] == ["b", "c"]
