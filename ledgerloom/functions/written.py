@@ -23,7 +23,7 @@ def canonical_number(c: Column) -> Column:
 
 
 def written_date(c: Column) -> Column:
-    """3 November 1898 of 1898-11-03."""
+    """21 February 1967 of 1967-02-21."""
     return F.concat_ws(" ", F.substr(c, F.lit(9), F.lit(2)).cast("int").cast("string"), _month_name(F.substr(c, F.lit(6), F.lit(2)).cast("int")), F.substr(c, F.lit(1), F.lit(4)))
 
 

@@ -10,16 +10,21 @@ def _flag(name: str, word: str) -> Column:
     return F.when(F.col(name), F.lit(word))
 
 
+def _steps() -> Column:
+    """The orchestration and the size of its shortlist, unless it is the default."""
+    size = F.coalesce(F.concat(F.lit("(k"), F.col("shortlist_k").cast("string"), F.lit(")")), F.lit(""))
+    return F.when(F.col("orchestration") != "single_shot", F.concat(F.col("orchestration"), size))
+
+
 def report_key(band: Column | None = None) -> Column:
     """arm and its axes that differ from the default, joined by slashes; the fidelity band comes last.
 
     Columns: arm, signal, vocabulary, catalogue_size, pin_units, describe_catalogue, embed_nested, strict_readings,
     orchestration, shortlist_k, plan_retry, unit_match, reasoning, language. Null or false axes leave no trace.
     """
-    steps = F.when(F.col("orchestration") != "single_shot", F.concat(F.col("orchestration"), F.coalesce(F.concat(F.lit("(k"), F.col("shortlist_k").cast("string"), F.lit(")")), F.lit(""))))
     parts = [
         F.col("arm"), F.col("signal"), F.col("vocabulary"), F.concat(F.lit("n"), F.col("catalogue_size").cast("string")), _flag("pin_units", "units"), _flag("describe_catalogue", "described"),
-        _flag("embed_nested", "embedded"), _flag("strict_readings", "strict-readings"), steps, _flag("plan_retry", "retry"), F.when(F.col("unit_match") == "physical", "physical"),
+        _flag("embed_nested", "embedded"), _flag("strict_readings", "strict-readings"), _steps(), _flag("plan_retry", "retry"), F.when(F.col("unit_match") == "physical", "physical"),
         F.concat(F.lit("think:"), F.col("reasoning")), F.col("language"), *([F.concat(F.lit("fid"), band)] if band is not None else []),
     ]
     return F.concat_ws("/", *(F.when(p != "", p) for p in parts))
@@ -28,7 +33,7 @@ def report_key(band: Column | None = None) -> Column:
 def runner_key() -> Column:
     """arm, signal and vocabulary always; then the axes, in the runner's order, that differ from the default."""
     parts = [
-        F.coalesce("arm", F.lit("")), F.coalesce("signal", F.lit("")), F.coalesce("vocabulary", F.lit("")), F.when(~F.col("describe_catalogue"), F.lit("bare")), F.when(F.col("orchestration") != "single_shot", F.col("orchestration")),
+        F.coalesce("arm", F.lit("")), F.coalesce("signal", F.lit("")), F.coalesce("vocabulary", F.lit("")), F.when(~F.col("describe_catalogue"), F.lit("bare")), _steps(),
         F.concat(F.lit("n"), F.col("catalogue_size").cast("string")), F.when(~F.col("pin_units"), F.lit("open-units")), F.when(F.col("unit_match") == "physical", "physical"), F.when(F.col("output_form") != "json", F.col("output_form")),
         _flag("embed_nested", "embedded"), _flag("strict_readings", "strict-readings"), _flag("plan_retry", "retry"), F.concat(F.lit("think:"), F.col("reasoning")), F.col("language"),
     ]

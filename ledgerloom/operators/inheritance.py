@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import shared_folder, written
 
 
 def effective(parents: DataFrame, declared: DataFrame) -> DataFrame:
     """(class, name, value, from): each name's nearest declaration over (class, parent, ordinal); own declarations first.
 
-    Nearness is depth, then the order in which parents are listed along the path. A cycle is walked once.
+    Nearness is depth, then the order in which parents are listed along the path. A cycle is walked once. A round for each level
+    keeps one route, the first by order, to each ancestor that is new, so paths are never listed; rounds go to the shared folder.
     """
-    spark = parents.sparkSession
-    parents.select("class", "parent", "ordinal").createOrReplaceTempView("_class_parents")
-    declared.select("class", "name", "value").createOrReplaceTempView("_class_declared")
-    return spark.sql("""
-        WITH RECURSIVE up(class, at, depth, route, seen) AS (
-          SELECT class, class, 0, CAST(array() AS ARRAY<INT>), array(class) FROM (SELECT class FROM _class_declared UNION SELECT class FROM _class_parents UNION SELECT parent FROM _class_parents)
-          UNION ALL
-          SELECT up.class, p.parent, up.depth + 1, array_append(up.route, CAST(p.ordinal AS INT)), array_append(up.seen, p.parent)
-          FROM up JOIN _class_parents p ON p.class = up.at WHERE NOT array_contains(up.seen, p.parent))
-        SELECT up.class, d.name, min_by(d.value, struct(up.depth, up.route, up.at)) AS value, min_by(up.at, struct(up.depth, up.route, up.at)) AS `from`
-        FROM up JOIN _class_declared d ON d.class = up.at GROUP BY up.class, d.name""")
+    folder = shared_folder(parents.sparkSession)
+    up = parents.select(F.col("class").alias("at"), "parent", F.col("ordinal").cast("int").alias("ordinal"))
+    classes = declared.select("class").unionAll(parents.select("class")).unionAll(parents.select("parent")).distinct()
+    start = classes.select("class", F.col("class").alias("at"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("route"))
+    rounds = [fresh := written(start, f"{folder}/0")]
+    while not fresh.isEmpty():
+        known = functools.reduce(DataFrame.unionAll, rounds).select("class", F.col("at").alias("parent"))
+        further = fresh.join(up, "at").select("class", "parent", F.array_append("route", F.col("ordinal")).alias("route"))
+        first = further.groupBy("class", "parent").agg(F.min("route").alias("route")).join(known, ["class", "parent"], "left_anti")
+        fresh = written(first.select("class", F.col("parent").alias("at"), F.lit(len(rounds)).alias("depth"), "route"), f"{folder}/{len(rounds)}")
+        rounds.append(fresh)
+    near = F.struct("depth", "route", "at")
+    found = functools.reduce(DataFrame.unionAll, rounds).join(declared.select(F.col("class").alias("at"), "name", "value"), "at")
+    return found.groupBy("class", "name").agg(F.min_by("value", near).alias("value"), F.min_by("at", near).alias("from"))
 
 
 def acyclic(edges: DataFrame, group: str, source: str, target: str) -> DataFrame:

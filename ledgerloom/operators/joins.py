@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_folder, written
+
 
-def as_of(probes: DataFrame, builds: DataFrame, by: list[str], probe_order: str, build_order: str, value: str, tie: str) -> DataFrame:
+def as_of(probes: DataFrame, builds: DataFrame, by: list[str], probe_order: str, build_order: str, value: str, tie: str, clamp: bool = False) -> DataFrame:
     """Each probe row with the value of the last build row at or before it, of its group; null if there is none.
 
-    One shuffle by the group and one sort: both sides are stacked and the last build value is carried along.
+    With `clamp`, a probe before all build rows gets the first one's value instead, as an index's first block covers all keys
+    below it. One shuffle by the group and one sort: both sides are stacked and the last build value is carried along.
     """
     names = probes.columns
     left = probes.select(*names, F.col(probe_order).alias("_at"), F.lit(1).alias("_probe"), F.lit(None).cast(builds.schema[value].dataType).alias("_value"), F.lit(None).cast(builds.schema[tie].dataType).alias("_tie"))
     right = builds.select(*(F.col(n) if n in by else F.lit(None).cast(probes.schema[n].dataType).alias(n) for n in names), F.col(build_order).alias("_at"), F.lit(0).alias("_probe"), F.col(value).alias("_value"), F.col(tie).alias("_tie"))
-    window = W.partitionBy(*by).orderBy("_at", "_probe", "_tie").rowsBetween(W.unboundedPreceding, 0)
-    return left.unionByName(right).withColumn("as_of", F.last("_value", ignorenulls=True).over(window)).where("_probe = 1").select(*names, "as_of")
+    ordered = W.partitionBy(*by).orderBy("_at", "_probe", "_tie")
+    found = F.last("_value", ignorenulls=True).over(ordered.rowsBetween(W.unboundedPreceding, 0))
+    if clamp:
+        found = F.coalesce(found, F.first("_value", ignorenulls=True).over(ordered.rowsBetween(0, W.unboundedFollowing)))
+    return left.unionByName(right).withColumn("as_of", found).where("_probe = 1").select(*names, "as_of")
 
 
 def bucket_of(c: Column, edges: tuple[float, ...]) -> Column:
@@ -27,16 +35,19 @@ def bucket_of(c: Column, edges: tuple[float, ...]) -> Column:
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(child, ancestor) over any path, without a node as its own ancestor; cycles are walked once.
 
-    A recursive query keeps the path of each walk, and stops a walk that returns to it.
+    Rounds of pairs that are new: each round joins them to all pairs known, so paths double in length, and drops what is known.
+    Pairs are never more than the result and its loops, however many paths there are. Each round is written to the shared folder.
     """
-    spark = edges.sparkSession
-    edges.select(F.col(child).cast("string").alias("c"), F.col(parent).cast("string").alias("p")).distinct().createOrReplaceTempView("_closure_edges")
-    return spark.sql("""
-        WITH RECURSIVE up(child, ancestor, path) AS (
-          SELECT c, p, array(c, p) FROM _closure_edges WHERE c <> p
-          UNION ALL
-          SELECT up.child, e.p, array_append(up.path, e.p) FROM up JOIN _closure_edges e ON e.c = up.ancestor WHERE NOT array_contains(up.path, e.p))
-        SELECT DISTINCT child, ancestor FROM up""")
+    folder = shared_folder(edges.sparkSession)
+    pairs = edges.select(F.col(child).cast("string").alias("child"), F.col(parent).cast("string").alias("ancestor")).where("child <> ancestor").distinct()
+    rounds = [fresh := written(pairs, f"{folder}/0")]
+    while not fresh.isEmpty():
+        known = functools.reduce(DataFrame.unionAll, rounds)
+        further = fresh.withColumnRenamed("ancestor", "via").join(known.withColumnRenamed("child", "via"), "via").select("child", "ancestor")
+        back = known.withColumnRenamed("ancestor", "via").join(fresh.withColumnRenamed("child", "via"), "via").select("child", "ancestor")
+        fresh = written(further.unionAll(back).distinct().join(known, ["child", "ancestor"], "left_anti"), f"{folder}/{len(rounds)}")
+        rounds.append(fresh)
+    return functools.reduce(DataFrame.unionAll, rounds).where("child <> ancestor")
 
 
 def relation(pairs: DataFrame, a: str, b: str, closed: DataFrame) -> DataFrame:
@@ -75,16 +86,25 @@ def first_spelling(rows: DataFrame, key: list[str], forms: str, spellings: DataF
     return exploded.join(spellings, spelling).groupBy(*key).agg(F.min_by(unit, "_at").alias(unit))
 
 
+#: Rows of an axis at most, and of the whole grid: an experiment is declared, not computed.
+MAX_AXIS, MAX_GRID = 100_000, 100_000_000
+
+
 def other_of_group(df: DataFrame, key: str, order: str) -> DataFrame:
     """Add other: the first key of the table, and for that row the second ("another document"). Null for a single row."""
-    firsts = df.orderBy(order).select(key).limit(2)
-    held = firsts.agg(F.sort_array(F.collect_list(F.col(key))).alias("_two"))
-    return df.crossJoin(F.broadcast(held)).withColumn("other", F.when(F.col(key) == F.col("_two")[0], F.try_element_at("_two", F.lit(2))).otherwise(F.col("_two")[0])).drop("_two")
+    two = [r[0] for r in df.orderBy(order).select(key).limit(2).collect()]
+    first, second = (F.lit(x).cast(df.schema[key].dataType) for x in (*two, None, None)[:2])
+    return df.withColumn("other", F.when(F.col(key) == first, second).otherwise(first))
 
 
 def grid(*axes: DataFrame, repetitions: int = 1) -> DataFrame:
-    """Every combination of small axes, numbered repetitions of each."""
-    out = axes[0]
+    """Every combination of small axes, numbered repetitions of each. An axis of over MAX_AXIS rows is an error."""
+    out, size = axes[0], max(1, repetitions)
+    for axis in axes:
+        rows = axis.limit(MAX_AXIS + 1).count()
+        size *= max(1, rows)
+        if rows > MAX_AXIS or size > MAX_GRID:
+            raise ValueError(f"a grid of over {MAX_AXIS} rows an axis or {MAX_GRID} in all")
     for axis in axes[1:]:
-        out = out.crossJoin(axis)
+        out = out.crossJoin(F.broadcast(axis))
     return out.withColumn("repetition", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(repetitions).cast("long"))))

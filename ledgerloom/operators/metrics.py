@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SATURATED = 0.99
-BANDS = ((0.5, "<0.5"), (0.95, "0.5-0.95"), (1.05, "~1.0"))
-TOP_BAND = ">1.0"
+#: Bands of what a schema keeps; the last of the named ones holds its bound.
+BANDS = ((0.5, "<0.5"), (0.95, "0.5-0.95"))
+WHOLE, TOP_BAND = (1.0, "~1.0"), ">1.0"
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -58,8 +59,8 @@ def single_observation(table: DataFrame) -> DataFrame:
 def fidelity_band(c: Column) -> Column:
     out = F.when(c < BANDS[0][0], BANDS[0][1])
     for bound, name in BANDS[1:]:
-        out = out.when(c < bound, name) if bound != 1.05 else out.when(c <= bound, name)
-    return F.when(c.isNotNull(), out.otherwise(TOP_BAND))
+        out = out.when(c < bound, name)
+    return F.when(c.isNotNull(), out.when(c <= WHOLE[0], WHOLE[1]).otherwise(TOP_BAND))
 
 
 def banded_conditions(records: DataFrame, condition: str, model: str, fidelity: str) -> DataFrame:

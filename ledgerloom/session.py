@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -48,3 +49,24 @@ def ship(spark: SparkSession) -> None:
             if (ROOT / p).exists():
                 z.write(ROOT / p, p)
     sc.addPyFile(str(archive))
+
+
+_LOCAL: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's URI under spark.checkpoint.dir. Without that setting, a temporary one in local mode and an error on a cluster."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
+        base = _LOCAL[0]
+    return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a table in a shared folder: its lineage is cut, and it outlives a lost executor."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import filters, graph, identity, joins, metrics, sampling
+from ledgerloom.operators import filters, graph, identity, inheritance, joins, metrics, sampling
 
 
 def col(spark, expression, *values):
@@ -62,6 +62,52 @@ def test_closure_survives_cycles(spark):
     assert got == {(x, y) for x in "abc" for y in "abc" if x != y} | {("d", y) for y in "abc"}
 
 
+def test_closure_of_long_chains_and_many_paths(spark):
+    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(150)]
+    diamonds = [e for i in range(18) for e in ((f"d{i}", f"d{i}l"), (f"d{i}", f"d{i}r"), (f"d{i}l", f"d{i + 1}"), (f"d{i}r", f"d{i + 1}"))]
+    edges = spark.createDataFrame(chain + diamonds + [("x", "x")], "child string, parent string")
+    got = {tuple(r) for r in joins.closure(edges, "child", "parent").collect()}
+    up = {}
+    for c, p in chain + diamonds:
+        up.setdefault(c, set()).add(p)
+    want = set()
+    for start in up:
+        stack = list(up[start])
+        while stack:
+            at = stack.pop()
+            if (start, at) not in want:
+                want.add((start, at))
+                stack += up.get(at, ())
+    assert got == want and joins.closure(edges.limit(0), "child", "parent").count() == 0
+
+
+def test_effective_declarations_in_many_paths(spark):
+    rows = [e for i in range(18) for e in ((f"d{i}", f"d{i}l", 0), (f"d{i}", f"d{i}r", 1), (f"d{i}l", f"d{i + 1}", 0), (f"d{i}r", f"d{i + 1}", 0))] + [("d18", "d0", 0)]
+    declared = [("d18", "p", "far"), ("d9", "p", "near"), ("d3r", "q", "right"), ("d3l", "q", "left"), ("d5", "r", "own")]
+    out = inheritance.effective(spark.createDataFrame(rows, "class string, parent string, ordinal int"), spark.createDataFrame(declared, "class string, name string, value string"))
+    got = {(r["class"], r["name"]): (r["value"], r["from"]) for r in out.collect()}
+    assert got["d0", "p"] == ("near", "d9") and got["d10", "p"] == ("far", "d18") and got["d0", "q"] == ("left", "d3l") and got["d3r", "q"] == ("right", "d3r") and got["d5", "r"] == ("own", "d5")
+    assert got["d6", "r"] == ("own", "d5") and len(got) == 55 * 3
+
+
+def test_bands_end_at_their_bounds(spark):
+    assert [r[0] for r in spark.createDataFrame([(0.499,), (0.5,), (0.95,), (1.0,), (1.0001,), (None,)], "x double").select(metrics.fidelity_band(F.col("x"))).collect()] == ["<0.5", "0.5-0.95", "~1.0", "~1.0", ">1.0", None]
+
+
+def test_grids_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MAX_AXIS", 3)
+    axis = spark.range(3)
+    assert joins.grid(axis, axis.toDF("b"), repetitions=2).count() == 18
+    with pytest.raises(ValueError, match="grid"):
+        joins.grid(axis, spark.range(4).toDF("b"))
+
+
+def test_as_of_clamps_to_the_first(spark):
+    probes = spark.createDataFrame([("u", 5, 1), ("u", 1, 2), ("v", 9, 3)], "g string, t long, id long")
+    builds = spark.createDataFrame([("u", 2, 10, 1), ("u", 2, 11, 2), ("u", 6, 30, 3)], "g string, t long, value long, k long")
+    assert {r["id"]: r["as_of"] for r in joins.as_of(probes, builds, ["g"], "t", "t", "value", "k", clamp=True).collect()} == {1: 11, 2: 10, 3: None}
+
+
 def test_as_of_ties_and_missing(spark):
     probes = spark.createDataFrame([("u", 5, 1), ("u", 1, 2), ("v", 9, 3)], "g string, t long, id long")
     builds = spark.createDataFrame([("u", 2, 10, 1), ("u", 5, 20, 2), ("u", 6, 30, 3)], "g string, t long, value long, k long")

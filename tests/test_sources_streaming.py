@@ -31,6 +31,9 @@ def test_publishing_and_dumps(spark, tmp_path):
     records.write_examples(df.coalesce(1), str(tmp_path / "ft"))
     lines = [x for p in (tmp_path / "ft").glob("part-*") for x in p.read_text(encoding="utf-8").splitlines()]
     assert lines[0].startswith("﻿") and json.loads(lines[1])["run_id"] == "2"
+    records.write_examples(spark.range(100).repartition(8), str(tmp_path / "many"))
+    for part in (tmp_path / "many").glob("part-*"):
+        assert [x.startswith("\ufeff") for x in part.read_text(encoding="utf-8").splitlines()] == [True] + [False] * (len(part.read_text(encoding="utf-8").splitlines()) - 1)
     (tmp_path / "doc.json").write_text(json.dumps({"cap": 3, "rows": [{"id": 1}, {"id": 2}]}))
     header, rows = records.read_document(spark, str(tmp_path / "doc.json"), "rows")
     assert header.first()["cap"] == 3 and rows.count() == 2
