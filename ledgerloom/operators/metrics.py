@@ -48,6 +48,35 @@ def tabulate(records: DataFrame, by: list[str], score: str, tokens: str, calls:
     return out.withColumn("tokens_per_task", ratio(F.col("tokens"), F.col("n")))
 
 
+def tabulate_dimensions(records: DataFrame, by: list[str], dimensions: str) -> DataFrame:
+    """Mean f1, precision and recall of each dimension, over the scores that have it, beside each group.
+
+    `dimensions` is a map from name to a struct with f1, precision and recall; a dimension that a score lacks counts for nothing.
+    """
+    each = records.select(*by, F.explode(dimensions).alias("dimension", "_d"))
+    return each.groupBy(*by, "dimension").agg(F.count("*").alias("n"), *(F.avg(F.col("_d")[m]).alias(m) for m in ("f1", "precision", "recall")))
+
+
+def cell_summary(calls: DataFrame, by: list[str], score: str, tokens: str, cached: str) -> DataFrame:
+    """Of each cell: scored and failed runs, mean score, and tokens a run, whole and net of what was cached."""
+    scored = F.col(score).isNotNull()
+    per_run = lambda c: F.coalesce(F.bround(F.avg(F.when(scored, c))), F.lit(0.0)).cast("long")
+    out = calls.groupBy(*by).agg(F.count(score).alias("n"), F.count_if(~scored).alias("failures"), F.coalesce(F.round(F.avg(score), 4), F.lit(0.0)).alias("f1"), per_run(F.col(tokens)).alias("prompt_tokens"), per_run(F.col(cached)).alias("cached_tokens"))
+    return out.withColumn("net_prompt_tokens", F.col("prompt_tokens") - F.col("cached_tokens"))
+
+
+def drop_between(rows: DataFrame, by: list[str], half: str, first: str, second: str, score: str) -> DataFrame:
+    """Mean score of both halves of each group, and how much the second lies below the first."""
+    out = rows.groupBy(*by).agg(*(F.avg(F.when(F.col(half) == h, F.col(score))).alias(h) for h in (first, second)))
+    return out.withColumn("fall", F.col(first) - F.col(second))
+
+
+def unpivoted(rows: DataFrame, key: list[str], figures: list[str]) -> DataFrame:
+    """One row for each figure, in their given order."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for i, n in enumerate(figures))))
+    return rows.select(*key, each.alias("_f")).select(*key, "_f.*")
+
+
 def saturated(table: DataFrame) -> DataFrame:
     return table.where(F.col("mean") >= SATURATED)
 
