@@ -32,7 +32,7 @@ ALPHA = 0.5
 #: Letters of a word that count; a longer run of letters is cut into words of this length.
 LONGEST = 64
 #: Text bytes that are scored together, for up to so many languages; fewer for more, so that scores of all tokens take bounded room.
-BATCH_BYTES, BATCH_LANGS = 4 << 20, 16
+BATCH_BYTES, BATCH_LANGS = 2 << 20, 16
 
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")

@@ -7,13 +7,13 @@
    reports a spanning forest only, so what it emits is linear in its nodes. Components of these are clusters.
 4. Every link lies within a cluster. There full sets are compared exactly, a node with all others at once over an inverted
    list, and again a spanning forest of the links is reported. Components of that are the result.
-Buckets and clusters of any size are dealt in pairs of bounded blocks. Components come of alternating large and small stars,
-each round written to the shared folder.
+Buckets and clusters of any size are dealt in pairs of bounded blocks; a large one is tied to its smallest node first, so that
+only what that leaves over is compared with all. Rows of hot keys are joined by broadcast. Components come of alternating large
+and small stars, each round written to the shared folder.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -39,6 +39,11 @@ STRIP = 128
 #: Bits of the map that screens whose full sets are wanted: 16 for each, up to this bound (16 MB), beyond which it only screens less.
 MAP_BITS = 1 << 27
 
+#: Keys that are broadcast at most, and the rows that a key has at least for that.
+HOT_KEYS, LEAST_HOT = 100_000, 1000
+#: Text bytes that are hashed at once.
+SLICE = 1 << 20
+
 _U64, _U32 = np.uint64, np.uint32
 
 
@@ -65,32 +70,35 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    out = []
-    for base in (_BASE, inverse):
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_NEAR_POWERS = np.multiply.accumulate(np.append(np.uint64(1), np.full((1 << 16) - 1, _BASE, np.uint64)))
+
+
+def _power(place: np.ndarray) -> np.ndarray:
+    """_BASE to the power of each place in a word, of two tables: the second is as long as the longest word needs."""
+    far = int(place.max(initial=0)) >> 16
+    if not far:
+        return _NEAR_POWERS[place]
+    step = pow(_BASE, 1 << 16, 1 << 64)
+    return _NEAR_POWERS[place & 0xFFFF] * np.multiply.accumulate(np.append(np.uint64(1), np.full(far, step, np.uint64)))[place >> 16]
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's shingles: word hashes by prefix sums over all bytes, then runs of five.
+    """Sorted distinct 64-bit hashes of each text's shingles: word hashes by sums over their bytes, then runs of five.
 
-    Fewer words than five: the whole sequence, as one. No words: empty.
+    Fewer words than five: the whole sequence, as one. No words: empty. "Full sets" are these: two shingles count as one if their
+    hashes agree.
     """
     data = [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
     joined = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
-    size = 1 << max(16, int(len(joined)).bit_length())
-    power, inverse = _powers(size)
     space = _SPACE[joined]
     before = np.concatenate([[True], space[:-1]])
     starts = np.flatnonzero(~space & before)
-    ends = np.flatnonzero(space & ~before)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[joined] * power[: len(joined)], dtype=np.uint64)])
-    words = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _U64(0x9E3779B97F4A7C15))
+    sizes = np.flatnonzero(space & ~before) - starts
+    held = np.flatnonzero(~space)
+    place = np.arange(len(held)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    parts = _BYTES[joined[held]] * _power(place)
+    sums = np.add.reduceat(parts, np.cumsum(sizes) - sizes) if len(starts) else parts
+    words = _mix(sums + sizes.astype(np.uint64) * _U64(0x9E3779B97F4A7C15))
     limits = np.cumsum([len(d) + 1 for d in data])
     first = np.searchsorted(starts, np.concatenate([[0], limits[:-1]]))
     last = np.append(first[1:], len(starts))
@@ -184,7 +192,7 @@ def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             picked = np.flatnonzero(wanted[batch.column(2).to_numpy()])
             if len(picked):
-                for part in slices(batch.take(pa.array(picked)), ["text"]):
+                for part in slices(batch.take(pa.array(picked)), ["text"], SLICE):
                     made = [x.view(np.int64) for x in shingle_sets(part.column(1).to_pylist())]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "shingles"])
 
@@ -192,8 +200,22 @@ def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return screened.join(nodes.select("node"), "node", "left_semi")
 
 
+def hot_join(rows: DataFrame, groups: DataFrame, key: list[str], members: str, total: int) -> DataFrame:
+    """rows joined with groups: a row for each key, of which `members` says how many of the `total` rows have it.
+
+    Keys of over total / HOT_KEYS rows (fewer than HOT_KEYS by that) are broadcast, so their rows stay where they are.
+    """
+    most = max(LEAST_HOT, total // HOT_KEYS)
+    hot = groups.where(F.col(members) > most)
+    others = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(groups.where(F.col(members) <= most), key)
+    return rows.join(F.broadcast(hot), key).unionByName(others)
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, component) of all nodes on edges (a, b): alternating large and small stars until the edges stay the same."""
+    """(node, component) of all nodes on edges (a, b): alternating large and small stars until the edges stay the same.
+
+    A hub's edges meet its least neighbour in a join, of which adaptive execution splits the large side where a hub is hot.
+    """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.unionAll(pairs.select("b", "a")) if large else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -318,13 +340,44 @@ def _confirm(percent: int):
     return lambda batches: _edge_batches(forest(rows) for rows in _grouped(batches, ["bucket", "x", "y"]))
 
 
-def _dealt(rows: DataFrame, parts) -> DataFrame:
-    """Each bucket's rows in blocks, and each pair of blocks under a key (bucket, x, y) of its own."""
+def _dealt(rows: DataFrame, size: str, limit: int) -> DataFrame:
+    """Each bucket's rows in blocks, and each pair of blocks that must be compared under a key (bucket, x, y) of its own.
+
+    `size` is each row's weight, of which a block holds about `limit`; `total` and `rest_total` are those of the bucket and of its
+    rows with `rest`. Rows without `rest` stand in one tree already: their blocks meet those of `rest` only.
+    """
+    tied, rest = (F.ceil(x / limit).cast("int") for x in (F.col("total") - F.col("rest_total"), F.col("rest_total")))
+    rows = rows.withColumns({"tied": tied, "parts": rest})
+    block = F.when(F.col("rest"), F.col("tied") + F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("node"), F.greatest("tied", F.lit(1))))
+    rows = rows.where("parts > 0").withColumn("block", block.cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("rest"), F.lit(0)).otherwise(F.col("tied")), F.col("tied") + F.col("parts") - 1)))
+    return rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("parts", "tied", "other", "total", "rest_total", "rest")
+
+
+def _linked(rows: DataFrame, groups: DataFrame, size: str, limit: int, near, held: list[str], compare, scratch: Scratch, name: str) -> DataFrame:
+    """Edges (a, b) that tie all nodes of a bucket that `compare` links: rows have bucket, node, total and the columns `held`;
+    groups are a row for each bucket with its total and members.
+
+    A bucket of one block is compared as it is. In a larger one, all rows are held against the smallest node first, by the
+    column expression `near`: what it links is one tree, and pairs within it need no comparison. So copies of rows grow with a
+    bucket of one family in proportion, and with the square only of what is left over.
+    """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("parts", parts.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("parts", "other")
-    return rows.repartition(n, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    compared = lambda pairs: pairs.repartition(n, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(compare, "a long, b long")
+    big = F.col("total") > limit
+    counted = groups.where(big).agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    whole = lambda df: df.withColumns({"rest": F.lit(True), "rest_total": F.col("total")})
+    if not counted:
+        return compared(_dealt(whole(rows), size, limit))
+    rows = scratch.keep(rows, f"{name}-rows")
+    large = rows.where(big)
+    hubs = large.groupBy("bucket").agg(F.min_by(F.struct("node", *held), "node").alias("hub")).join(groups.select("bucket", "members"), "bucket")
+    judged = hot_join(large, hubs, ["bucket"], "members", counted).withColumn("rest", ~near & (F.col("node") != F.col("hub.node")))
+    judged = scratch.keep(judged.withColumn("hub", F.col("hub.node")).drop("members"), f"{name}-judged")
+    spare = judged.where("rest").groupBy("bucket").agg(F.sum(size).alias("rest_total")).join(groups.select("bucket", "members"), "bucket")
+    left = hot_join(judged.drop("hub"), spare, ["bucket"], "members", counted).drop("members")
+    tied = judged.where("NOT rest AND node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    return compared(_dealt(whole(rows.where(~big)), size, limit).unionByName(_dealt(left, size, limit))).unionAll(tied)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,32 +387,40 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     text: no shingles, no links, its own component. A null id: no links, component_id null, kept. Rows that repeat an id and a
     text are one node, so all of them have one component and `kept` where the id is the smallest; rows that repeat an id with
     different texts pool their links. Only the two named columns are read; others don't clash. An empty table: an empty result.
-    Ids are 64-bit integers.
+    Ids are 64-bit integers. Sets are of 64-bit hashes of shingles.
     """
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     key = ["n_shingles", "set_a", "set_b"]
-    signed = scratch.keep(append_columns(texts, _SIGNATURE, ["text"], _signatures).drop("text"), "signatures")
+    signed = scratch.keep(append_columns(texts, _SIGNATURE, ["text"], _signatures, limit=SLICE).drop("text"), "signatures")
     linkable = signed.where("doc_id is not null and n_shingles > 0")
-    classes = scratch.keep(linkable.groupBy(*key).agg(F.min("doc_id").alias("node")), "classes")
-    nodes = linkable.join(classes.withColumnRenamed("node", "doc_id"), [*key, "doc_id"], "left_semi")
+    classes = scratch.keep(linkable.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("members")), "classes")
+    nodes = linkable.join(classes.select(*key, F.col("node").alias("doc_id")), [*key, "doc_id"], "left_semi")
 
     banded = nodes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = banded.join(shared, "bucket").join(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "node")
-    maybe = _dealt(buckets, F.ceil(F.col("members") / BLOCK_NODES)).select("bucket", "x", "y", "block", "node", "n", "sketch").mapInArrow(_screen(percent), "a long, b long")
+    shared = scratch.keep(banded.groupBy("bucket").agg(F.count("*").alias("total")).where("total > 1"), "shared")
+    in_all = shared.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    buckets = hot_join(banded, shared, ["bucket"], "total", in_all).join(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch"), "node")
+    bits = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("hub.sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    alike = (bits <= sketch_limit(percent)) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+    maybe = _linked(buckets.withColumn("one", F.lit(1)), shared.withColumn("members", F.col("total")), "one", BLOCK_NODES, alike, ["n", "sketch"], _screen(percent), scratch, "buckets")
     clusters = scratch.keep(components(maybe, scratch, "maybe").select("node", F.col("component").alias("bucket")), "clusters")
 
     sets = _sets_of(texts, clusters)
-    sizes = clusters.join(nodes.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("bucket").agg(F.sum("n_shingles").alias("total"))
-    full = clusters.join(sizes, "bucket").join(sets, "node")
-    linked = _dealt(full, F.ceil(F.col("total") / BLOCK_SHINGLES)).select("bucket", "x", "y", "block", "node", "shingles").mapInArrow(_confirm(percent), "a long, b long")
+    sized = clusters.join(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")), "node")
+    sizes = scratch.keep(sized.groupBy("bucket").agg(F.sum("n").alias("total"), F.count("*").alias("members")), "sizes")
+    in_all = sizes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    full = hot_join(sized, sizes, ["bucket"], "members", in_all).drop("members").join(sets, "node")
+    common = F.size(F.array_intersect("shingles", "hub.shingles"))
+    alike = 100 * common >= percent * (F.col("n") + F.col("hub.n") - common)
+    linked = _linked(full, sizes, "n", BLOCK_SHINGLES, alike, ["n", "shingles"], _confirm(percent), scratch, "clusters")
     labels = components(linked, scratch, "linked")
 
-    placed = signed.select("doc_id", *key).join(classes, key, "left").join(labels, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    labelled = classes.join(labels, "node", "left").select(*key, "members", F.coalesce("component", "node").alias("component_id"))
+    in_all = classes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    placed = hot_join(signed.where("doc_id is not null and n_shingles > 0").select("doc_id", *key), labelled, key, "members", in_all).select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
