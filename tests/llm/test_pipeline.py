@@ -4,6 +4,7 @@ import re
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from ledgerloom.llm import language_id
@@ -62,3 +63,16 @@ def test_near_duplicates_keeps_different_texts_of_one_id(spark):
     got = [(r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, SF).collect()]
     assert len([r for r in got if r[0] is None and r[1] in (d, d + " x")]) == 1
     assert sorted((r for r in got if r[1] not in (d, d + " x")), key=str) == sorted([(1, a), (2, b), (2, c), (None, None), (3, "")], key=str)
+
+
+def test_stages_leave_columns_with_the_operators_names_alone(spark):
+    clash = "score lang_pred n_hit items runs spans _grams _known _node n_words".split()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    for c in clash:
+        docs = docs.withColumn(c, F.concat(F.lit(c), "doc_id"))
+    docs = docs.drop("score").withColumn("score", F.col("doc_id") * 2)
+    for _, stage in cp.STAGES[:3]:
+        kept = stage(spark, docs, SF)
+        assert kept.schema == docs.schema
+        rows = kept.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in clash if c != "score") and all(r["score"] == 2 * r["doc_id"] for r in rows)
