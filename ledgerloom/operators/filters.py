@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder, written
+
 MIN_SENTENCES, MAX_BOILERPLATE, MAX_SPEC = 10, 0.15, 1.5
 SENTENCE_CHARS, SPEC_CHARS = 60, 60
 #: Marks of a line that belongs to the site rather than to the text.
@@ -44,21 +49,14 @@ NEEDLE_BYTES = 4 << 20
 def stated_counts(needles: DataFrame, key: str, needle: str, texts: DataFrame, text: str) -> DataFrame:
     """How many texts hold each needle, both in lower case: one pass over the texts with an automaton of all needles.
 
-    Needles are a stated query set; more than NEEDLE_BYTES of them go in blocks, a pass each. An empty needle is in every text.
+    Needles are a stated query set; more than NEEDLE_BYTES of them go in blocks, a pass each, and only the counts of one block are
+    on the way while the driver holds the next. An empty needle is in every text.
     """
     spark = texts.sparkSession
     rows = needles.select(F.col(key).alias("k"), F.lower(needle).alias("n")).where("n IS NOT NULL")
-    blocks, held, size = [], [], 0
-    for r in rows.toLocalIterator():
-        if held and size + len(r["n"]) > NEEDLE_BYTES:
-            blocks.append(held)
-            held, size = [], 0
-        held.append((r["k"], r["n"]))
-        size += len(r["n"])
-    blocks.append(held)
     kind = needles.schema[key].dataType.simpleString()
-    found = None
-    for block in blocks:
+    folder, found = shared_folder(spark), []
+    for block in _blocks(rows.toLocalIterator()):
         shared = spark.sparkContext.broadcast(block)
 
         def scan(frames, shared=shared):
@@ -77,8 +75,23 @@ def stated_counts(needles: DataFrame, key: str, needle: str, texts: DataFrame, t
                 yield pd.DataFrame({"k": [shared.value[i][0] for i in counts], "c": list(counts.values())})
 
         part = texts.select(F.lower(text).alias("t")).mapInPandas(scan, f"k {kind}, c long").groupBy("k").agg(F.sum("c").alias("c"))
-        found = part if found is None else found.unionByName(part)
-    return needles.select(F.col(key)).distinct().join(found.withColumnRenamed("k", key), key, "left").select(key, F.coalesce("c", F.lit(0).cast("long")).alias("stated"))
+        found.append(written(part, f"{folder}/{len(found)}"))
+        shared.unpersist()
+    total = functools.reduce(DataFrame.unionAll, found).groupBy("k").agg(F.sum("c").alias("c"))
+    return needles.select(F.col(key)).distinct().join(total.withColumnRenamed("k", key), key, "left").select(key, F.coalesce("c", F.lit(0).cast("long")).alias("stated"))
+
+
+def _blocks(rows: Iterator) -> Iterator[list[tuple]]:
+    """(key, needle) in blocks of NEEDLE_BYTES, one at least."""
+    held, size, any_ = [], 0, False
+    for r in rows:
+        if held and size + len(r["n"]) > NEEDLE_BYTES:
+            yield held
+            held, size, any_ = [], 0, True
+        held.append((r["k"], r["n"]))
+        size += len(r["n"])
+    if held or not any_:
+        yield held
 
 
 def grounded(value: Column, text: Column) -> Column:

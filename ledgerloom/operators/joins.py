@@ -27,6 +27,11 @@ def as_of(probes: DataFrame, builds: DataFrame, by: list[str], probe_order: str,
     return left.unionByName(right).withColumn("as_of", found).where("_probe = 1").select(*names, "as_of")
 
 
+def with_next(rows: DataFrame, by: list[str], order: list[str], value: str, to: str) -> DataFrame:
+    """Add the value of the row that follows in its group; null for the last."""
+    return rows.withColumn(to, F.lead(value).over(W.partitionBy(*by).orderBy(*order)))
+
+
 def bucket_of(c: Column, edges: tuple[float, ...]) -> Column:
     """The number of edges at or below the value."""
     return sum((F.when(c >= e, 1).otherwise(0) for e in edges), F.lit(0))

@@ -126,6 +126,17 @@ def identity_score(judgements: DataFrame, truth: str, decision: str, route: str,
     return out.withColumns({"accuracy": ratio(F.col("right"), F.col("n")), "coverage": ratio(F.col("decided"), F.col("n")), "decided_accuracy": ratio(F.col("right_decided"), F.col("decided"))})
 
 
+def cross_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of each combination that occurs."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def coverage(rows: DataFrame, by: list[str], decision: str) -> DataFrame:
+    """Rows of each group, those with a decision, and their share."""
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count(decision).alias("decided"))
+    return out.withColumn("coverage", ratio(F.col("decided"), F.col("n")))
+
+
 def guessable(values: DataFrame, cls: str, prop: str, value: str, class_floor: int, statement_floor: int) -> DataFrame:
     """For each class and property that is stated often enough, the share of its commonest value (ties: the least value)."""
     counts = values.groupBy(cls, prop, value).agg(F.count("*").alias("n"))

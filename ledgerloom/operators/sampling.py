@@ -24,12 +24,21 @@ def require_groups(df: DataFrame, by: str, wanted: list[str]) -> DataFrame:
     return df
 
 
+#: Strata that a round may have: their first rows are numbered in one task.
+MAX_STRATA = 1_000_000
+
+
 def round_robin(df: DataFrame, stratum: str, order: list[str]) -> DataFrame:
-    """Add turn and seat: the first of every stratum, then the second of each; strata in the order of their first rows."""
+    """Add turn and seat: the first of every stratum, then the second of each; strata in the order of their first rows.
+
+    Over MAX_STRATA strata are an error rather than one task without bound.
+    """
     within = W.partitionBy(stratum).orderBy(*order)
-    seats = df.groupBy(stratum).agg(F.min(F.struct(*order)).alias("_first"))  # a row for each stratum
-    seats = seats.withColumn("seat", F.row_number().over(W.orderBy("_first")).cast("long")).drop("_first")
-    return df.withColumn("turn", F.row_number().over(within).cast("long")).join(seats, stratum)
+    firsts = df.groupBy(stratum).agg(F.min(F.struct(*order)).alias("_first"))
+    if firsts.limit(MAX_STRATA + 1).count() > MAX_STRATA:
+        raise ValueError(f"over {MAX_STRATA} strata")
+    seats = firsts.withColumn("seat", F.row_number().over(W.orderBy("_first")).cast("long")).drop("_first")
+    return df.withColumn("turn", F.row_number().over(within).cast("long")).join(F.broadcast(seats), stratum)
 
 
 def even_spread(df: DataFrame, by: list[str], order: list, k: Column) -> DataFrame:
@@ -54,10 +63,20 @@ def matched_strata(df: DataFrame, stratum: str, cls: str, classes: list[str], or
 
 
 def first_copies(df: DataFrame, by: list[str], fingerprint: Column, order: list) -> DataFrame:
-    """The first row of each fingerprint within a group; rows with the empty fingerprint all stay."""
-    marked = df.withColumn("_print", fingerprint)
-    kept = marked.where("_print <> ''").withColumn("_rank", F.row_number().over(W.partitionBy(*by, "_print").orderBy(*order))).where("_rank = 1").drop("_rank")
-    return kept.unionByName(marked.where("_print = ''")).drop("_print")
+    """The first row of each fingerprint within a group; rows with the empty fingerprint, or none, all stay.
+
+    One scan and one shuffle: a row without a print has its own key in place of it, so such rows are spread and never compete.
+    """
+    printed = F.coalesce(fingerprint, F.lit(""))
+    own = F.when(printed == "", F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    marked = df.withColumn("_print", printed).withColumn("_own", own)
+    rank = F.row_number().over(W.partitionBy(*by, "_print", "_own").orderBy(*order))
+    return marked.withColumn("_rank", rank).where("_rank = 1").drop("_print", "_own", "_rank")
+
+
+def first_values(rows: DataFrame, by: list[str], order: str, value: str, to: str) -> DataFrame:
+    """The value that comes first in each group, and how many other values there are: a fold that counts its conflicts."""
+    return rows.groupBy(*by).agg(F.min_by(value, order).alias(to), (F.count_distinct(value) - 1).alias("conflicts"))
 
 
 def undirected(pairs: DataFrame, a: str, b: str) -> DataFrame:

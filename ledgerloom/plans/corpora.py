@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import filters, joins, sampling
+from ..operators import filters, graph, joins, quality, sampling, statements
 from .registry import query, table
 
 _BRAND_CAP = 5
@@ -186,24 +186,23 @@ def json_props(spark, d):
 n AS (SELECT conv_id, count(*) FILTER (WHERE role = 'user') = count(*) FILTER (WHERE role = 'assistant') AS whole FROM conversations GROUP BY conv_id)
 SELECT conv_id, i - 1 AS step, md5(u.text) AS asked, md5(a.text) AS answered FROM u JOIN a USING (conv_id, i) JOIN n USING (conv_id) WHERE whole""")
 def chain_zip(spark, d):
-    from pyspark.sql import Window as W
-
     c = table(spark, d, "conversations")
-    step = (F.row_number().over(W.partitionBy("conv_id", "role").orderBy("turn")) - 1).cast("long")
-    parts = c.where(F.col("role").isin("user", "assistant")).withColumn("step", step)
-    counts = W.partitionBy("conv_id")
-    parts = parts.withColumn("_whole", F.count_if(F.col("role") == "user").over(counts) == F.count_if(F.col("role") == "assistant").over(counts)).where("_whole")
-    return parts.groupBy("conv_id", "step").agg(F.md5(F.max(F.when(F.col("role") == "user", F.col("text")))).alias("asked"), F.md5(F.max(F.when(F.col("role") == "assistant", F.col("text")))).alias("answered"))
+    said = lambda role, name: c.where(F.col("role") == role).select("conv_id", "turn", F.md5("text").alias(name))
+    asked, answered = said("user", "asked"), said("assistant", "answered")
+    zipped = quality.zip_chain(asked, answered, "conv_id", "turn").join(quality.chain_lengths(asked, answered, "conv_id").select("conv_id"), "conv_id", "left_anti")
+    return zipped.select("conv_id", (F.col("step") - 1).cast("long").alias("step"), "asked", "answered")
 
 
 @query("""SELECT conv_id, role, arg_min(md5(text), turn) AS kept, count(DISTINCT text) - 1 AS conflicts FROM conversations GROUP BY conv_id, role""")
 def value_fold_conflicts(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.md5(F.min_by("text", "turn")).alias("kept"), (F.count_distinct("text") - 1).alias("conflicts"))
+    return sampling.first_values(table(spark, d, "conversations"), ["conv_id", "role"], "turn", "text", "kept").withColumn("kept", F.md5("kept"))
 
 
 @query("SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
 def isolated_nodes(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("node")).join(table(spark, d, "lineitem").select(F.col("l_partkey").alias("node")), "node", "left_anti")
+    nodes = table(spark, d, "part").select(F.lit("g").alias("graph"), F.col("p_partkey").alias("id"))
+    edges = table(spark, d, "lineitem").select(F.lit("g").alias("graph"), F.col("l_partkey").alias("source"), F.col("l_partkey").alias("target"))
+    return graph.isolated(nodes, edges).select(F.col("id").alias("node"))
 
 
 @query("WITH p AS (SELECT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY ALL) SELECT lo, hi, n FROM p WHERE n > 1")
@@ -214,20 +213,25 @@ def parallel_edges(spark, d):
 
 @query("""WITH f AS (SELECT c_custkey, c_mktsegment AS prev, lead(c_mktsegment) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS next FROM customer) SELECT prev, next, count(*) AS n FROM f WHERE next IS NOT NULL GROUP BY ALL""")
 def revision_neighbours(spark, d):
-    from pyspark.sql import Window as W
-
-    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("prev"), F.lead("c_mktsegment").over(W.partitionBy("c_nationkey").orderBy("c_custkey")).alias("next"))
-    return c.where("next IS NOT NULL").groupBy("prev", "next").agg(F.count("*").alias("n"))
+    c = joins.with_next(table(spark, d, "customer"), ["c_nationkey"], ["c_custkey"], "c_mktsegment", "next")
+    return c.where("next IS NOT NULL").groupBy(F.col("c_mktsegment").alias("prev"), "next").agg(F.count("*").alias("n"))
 
 
 @query("""WITH s AS (SELECT p_brand AS unit, p_type AS kind FROM part), u AS (SELECT kind FROM s GROUP BY kind), o AS (SELECT unit, count(DISTINCT kind) AS kinds, min(kind) AS kind FROM s GROUP BY unit)
 SELECT unit, kinds, CASE WHEN kinds = 1 THEN kind END AS only_kind FROM o""")
 def unit_owners(spark, d):
-    o = table(spark, d, "part").groupBy(F.col("p_brand").alias("unit")).agg(F.count_distinct("p_type").alias("kinds"), F.min("p_type").alias("kind"))
-    return o.select("unit", "kinds", F.when(F.col("kinds") == 1, F.col("kind")).alias("only_kind"))
-
-
-@query(None)
+    part = table(spark, d, "part").select(F.col("p_brand").alias("unit"), F.col("p_type").alias("kind"))
+    counts = statements.distinct_sets(part, "unit", "kind").select("unit", F.size("members").cast("long").alias("kinds"))
+    return counts.join(joins.unambiguous(part, "unit", "kind").withColumnRenamed("kind", "only_kind"), "unit", "left").select("unit", "kinds", "only_kind")
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_type, p_partkey, ['brand=' || p_brand, 'size=' || p_size::VARCHAR] AS f, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i FROM part),
+w(p_type, i, p_partkey, keep, used) AS (
+  SELECT DISTINCT p_type, 0::BIGINT, NULL::BIGINT, false, []::VARCHAR[] FROM p
+  UNION ALL
+  SELECT p_type, i, p_partkey, ok, CASE WHEN ok THEN list_concat(used, f) ELSE used END
+  FROM (SELECT p.*, w.used, len(list_filter(w.used, lambda x: x = p.f[1])) < 3 AND len(list_filter(w.used, lambda x: x = p.f[2])) < 3 AS ok FROM w JOIN p ON p.p_type = w.p_type AND p.i = w.i + 1))
+SELECT p_type, p_partkey FROM w WHERE keep""")
 def capped_values(spark, d):
     p = table(spark, d, "part").select("p_type", "p_partkey", F.array(F.concat(F.lit("brand="), "p_brand"), F.concat(F.lit("size="), F.col("p_size").cast("string"))).alias("facts"))
     return sampling.capped_values(p, "p_type", "p_partkey", "facts", 3).select("p_type", "p_partkey")

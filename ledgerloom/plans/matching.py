@@ -67,7 +67,11 @@ def answer_triples(spark, d):
     return rows.where("kind = 'triple'").select("event_id", "property", "magnitude")
 
 
-@query(None)
+_BARE_PAGE = "regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<[^>]*>', '', 'g')"
+_DECODED = f"replace(replace(replace(replace({_BARE_PAGE}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, length(trim(regexp_replace({_DECODED}, '\\s+', ' ', 'g'))) AS chars, NULL::VARCHAR AS licence, 0::BIGINT AS errors FROM pages")
 def html_text(spark, d):
     return extraction.pages_to_entities(table(spark, d, "pages").select("page_id", "html"), "page_id", "html").where("syntax = 'text'").select("page_id", F.length("content").alias("chars"), "licence", "errors")
 
@@ -92,7 +96,7 @@ def score_task(spark, d):
 @query(None)
 def graph_fold(spark, d):
     c = table(spark, d, "conversations")
-    entity = F.struct(F.concat(F.lit("m"), F.col("turn").cast("string")).alias("key"), F.col("role").alias("class"), F.lit(None).cast("string").alias("label"), F.create_map(F.lit("name"), F.array(F.substring_index("text", " ", 1))).alias("data"))
+    entity = F.struct(F.concat(F.lit("m"), F.col("turn").cast("string")).alias("key"), F.col("role").alias("class"), F.lit(None).cast("string").alias("label"), F.create_map(F.lit("name"), F.array("text")).alias("data"))
     link = F.when(F.col("turn") > 0, F.array(F.array(F.concat(F.lit("m"), F.col("turn").cast("string")), F.lit("answers"), F.concat(F.lit("m"), (F.col("turn") - 1).cast("string"))))).otherwise(F.array().cast("array<array<string>>"))
     turns = c.select(F.col("conv_id").cast("string").alias("session"), "turn", F.to_json(F.array(entity)).alias("entities"), F.to_json(link).alias("links"))
     return graph.fold_sessions(turns).select("session", "nodes", "edges", "conflicts")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, metrics
+from ..operators import conditions, joins, metrics, statements
 from .registry import query, table
 
 # events as a run log: event_type is the condition, user_id % 5 the model, value / 20, at most 1, the score; every 17th cell failed
@@ -169,13 +169,13 @@ def identity_score(spark, d):
 
 @query(f"WITH {LEDGER} SELECT truth, decision, count(*) AS n FROM ledger GROUP BY truth, decision")
 def identity_confusion(spark, d):
-    return _ledger(spark, d).groupBy("truth", "decision").agg(F.count("*").alias("n"))
+    return metrics.cross_counts(_ledger(spark, d), ["truth", "decision"])
 
 
 @query("SELECT lang, count(*) AS n, count(quality) AS decided, round(count(quality)::DOUBLE / count(*), 6) AS coverage FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
 def coverage_counts(spark, d):
     both = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return both.groupBy("lang").agg(F.count("*").alias("n"), F.count("quality").alias("decided")).withColumn("coverage", F.round(metrics.ratio(F.col("decided"), F.col("n")), 6))
+    return metrics.coverage(both, ["lang"], "quality").withColumn("coverage", F.round("coverage", 6))
 
 
 @query("""WITH c AS (SELECT p_type, p_brand, p_name, count(*) AS n FROM part GROUP BY ALL), s AS (SELECT p_type, p_brand, sum(n)::BIGINT AS stated, max(n) AS commonest FROM c GROUP BY ALL),
@@ -188,24 +188,31 @@ def guessable_share(spark, d):
 _REASON = "CASE WHEN n_chars < 120 THEN 'too short' WHEN lang <> 'en' THEN 'language' WHEN source IN ('src3', 'src7') THEN 'source' END"
 
 
+def _reason():
+    return statements.first_reason([("too short", F.col("n_chars") < 120), ("language", F.col("lang") != "en"), ("source", F.col("source").isin("src3", "src7"))])
+
+
 @query(f"""WITH j AS (SELECT source, {_REASON} AS reason FROM documents)
 SELECT source, count(*) AS rows_in, count(*) FILTER (WHERE reason IS NULL) AS resolved, count(reason) AS excluded, count(*) = count(*) FILTER (WHERE reason IS NULL) + count(reason) AS closes FROM j GROUP BY source""")
 def accounting_gate(spark, d):
-    reason = F.when(F.col("n_chars") < 120, "too short").when(F.col("lang") != "en", "language").when(F.col("source").isin("src3", "src7"), "source")
-    return metrics.accounting(table(spark, d, "documents").select("source", "lang", "n_chars"), reason, ["source"])
+    return metrics.accounting(table(spark, d, "documents").select("source", "lang", "n_chars"), _reason(), ["source"])
 
 
 @query(f"SELECT coalesce({_REASON}, 'resolved') AS reason, lang, count(*) AS n FROM documents GROUP BY 1, 2")
 def exclusion_reasons(spark, d):
-    reason = F.when(F.col("n_chars") < 120, "too short").when(F.col("lang") != "en", "language").when(F.col("source").isin("src3", "src7"), "source").otherwise("resolved")
-    return table(spark, d, "documents").groupBy(reason.alias("reason"), "lang").agg(F.count("*").alias("n"))
+    judged = table(spark, d, "documents").withColumn("reason", F.coalesce(_reason(), F.lit("resolved")))
+    return metrics.cross_counts(judged, ["reason", "lang"])
 
 
 @query("""SELECT p_partkey, CASE WHEN p_brand IS NULL THEN 'undeclared' WHEN p_brand = 'Brand#2' AND p_size <= 25 THEN 'matched' WHEN p_brand = 'Brand#2' THEN 'mismatched' ELSE 'base' END AS status,
        concat_ws('|', CASE WHEN p_size > 25 THEN 'size' END, CASE WHEN p_type <> 'SMALL' THEN 'type' END) AS differing FROM part""")
 def training_match(spark, d):
-    status = F.when(F.col("p_brand").isNull(), "undeclared").when((F.col("p_brand") == "Brand#2") & (F.col("p_size") <= 25), "matched").when(F.col("p_brand") == "Brand#2", "mismatched").otherwise("base")
-    return table(spark, d, "part").select("p_partkey", status.alias("status"), F.concat_ws("|", F.when(F.col("p_size") > 25, "size"), F.when(F.col("p_type") != "SMALL", "type")).alias("differing"))
+    p = table(spark, d, "part")
+    at_most = F.when(F.col("p_size") > 25, "over").otherwise("at most 25")
+    p = p.withColumn("_size", F.create_map(F.lit("size"), at_most)).withColumn("_told", F.when(F.col("p_brand").isNotNull(), F.create_map(F.lit("size"), F.lit("at most 25"))))
+    p = p.withColumn("_tuned", F.coalesce(F.col("p_brand") == "Brand#2", F.lit(True)))
+    p = p.withColumn("_held", F.create_map(F.lit("size"), at_most, F.lit("type"), F.col("p_type"))).withColumn("_want", F.create_map(F.lit("size"), F.lit("at most 25"), F.lit("type"), F.lit("SMALL")))
+    return p.select("p_partkey", conditions.training_status("_told", "_size", "_tuned").alias("status"), F.concat_ws("|", conditions.differing("_want", "_held")).alias("differing"))
 
 
 @query("SELECT c_custkey, c_name, sha256('{\"c_mktsegment\":\"' || c_mktsegment || '\",\"c_nationkey\":' || c_nationkey::VARCHAR || '}') AS config_hash FROM customer")
