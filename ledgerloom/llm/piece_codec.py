@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from . import pieces
 from .common import Memory, append_columns, held, joined, segments, table
 
-#: Bytes of new segments that one suffix array indexes, under 2**POSITION; a longer segment is indexed alone.
+#: Bytes of new segments that one suffix array indexes, under SPAN; a longer segment is indexed alone.
 INDEX_BYTES = 1 << 20
 #: Segments whose ids a worker remembers, and their bytes.
 CACHE_WORDS, CACHE_BYTES = 400_000, 80 << 20
@@ -34,6 +34,8 @@ TOGETHER = 256
 BATCH_BYTES = 4 << 20
 #: Bits of a position in a suffix key; the first bytes that it is sorted by, and those added at a time.
 POSITION, FIRST, MORE = 24, 5, 3
+#: Bytes that one suffix array can index.
+SPAN = 1 << POSITION
 #: Characters below this have a row in the table of neighbours; others are cut off only before a space.
 NEIGHBOURS = 0x250
 
@@ -166,7 +168,7 @@ class Codec:
 
     def _index(self, words: list[bytes]) -> list[bytes]:
         text = b"\x00".join(words) + b"\x00"
-        if len(text) >= 1 << POSITION:
+        if len(text) >= SPAN:
             return [self._long(words[0])]
         lattice = Lattice(text, self)
         raw = np.frombuffer(text, np.uint8)
@@ -252,7 +254,7 @@ class Codec:
 
     def _long(self, word: bytes) -> bytes:
         """A segment too long for one index: it is indexed in parts that overlap, and relaxed as one."""
-        step, lattices = (1 << POSITION) - 4 * self.width, []
+        step, lattices = SPAN - 4 * self.width, []
         for a in range(0, len(word), step):
             lattices.append(Lattice(word[a : a + step + self.width] + b"\x00", self))
         lattice = _Joined(lattices, step)

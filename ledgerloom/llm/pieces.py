@@ -41,9 +41,23 @@ def load(path: str) -> Pieces:
             names.append(piece)
     if any(SPACE in p.lstrip(SPACE) for p in scores):
         raise ValueError("pieces span words: texts can't be cut at spaces")
+    if len(bytes_) == 256:
+        _refuse_other_forms(sp, names)
     return Pieces(scores, ids, [bytes_[b] for b in range(256)] if len(bytes_) == 256 else None, sp.unk_id(), names)
 
 
+#: Texts whose pieces tell how a model normalises: white space at both ends and inside, compatibility forms, case, controls.
+PROBES = (" a  b ", "a", "ﬁ①Ⅷ é e\u0301", "A b\tc\n", "\u3000x\u200b")
+
+
+def _refuse_other_forms(sp: sentencepiece.SentencePieceProcessor, names: list[str | bytes]) -> None:
+    """An error for a model that changes texts, or puts no space before them: it would give other ids than are made here."""
+    for probe in PROBES:
+        said = b"".join(n.encode() if isinstance(n, str) else n for n in (names[i] for i in sp.encode(probe)))
+        if said != (SPACE + probe.replace(" ", SPACE)).encode():
+            raise ValueError("the model normalises texts; only models that keep them, with a space before each, are read")
+
+
 def words(text: str | None) -> list[str]:
     """The text's words as pieces spell them, each less the space mark that starts it.
 
