@@ -48,12 +48,34 @@ class Fold:
 
     def __init__(self, state: str | None = None):
         held = json.loads(state) if state else {}
-        self.nodes: dict[str, dict] = held.get("nodes", {})
+        self.nodes: dict[str, dict] = {k: held["nodes"][k] for k in held.get("order", held.get("nodes", {}))}
         self.edges: list[list[str]] = held.get("edges", [])
         self.conflicts: list[list[str]] = held.get("conflicts", [])
+        self._known = {tuple(e) for e in self.edges}
+        self._at: dict[str, int] = {}  # place of each node
+        self._by_value: dict[tuple[str, str], list[str]] = {}
+        self._by_key: dict[str, list[str]] = {}
+        for k in self.nodes:
+            self._listed(k)
 
     def state(self) -> str:
-        return json.dumps({"nodes": self.nodes, "edges": self.edges, "conflicts": self.conflicts}, sort_keys=True)
+        return json.dumps({"nodes": self.nodes, "order": list(self.nodes), "edges": self.edges, "conflicts": self.conflicts}, sort_keys=True)
+
+    def _listed(self, k: str, data: dict | None = None) -> None:
+        """Index a node, or what was added to it, by its values."""
+        node = self.nodes[k]
+        if k not in self._at:
+            self._at[k] = len(self._at)
+            self._by_key.setdefault(node["key"], []).append(k)
+        for p, values in (node["data"] if data is None else data).items():
+            for v in values:
+                self._by_value.setdefault((p, v), []).append(k)
+
+    def _candidates(self, e: dict) -> list[str]:
+        """Nodes that share a value with the entity, and those of its key that are only named so far, in the order they came."""
+        found = {k for p, values in e["data"].items() for v in values for k in self._by_value.get((p, v), ())}
+        found |= {k for k in self._by_key.get(e["key"], ()) if self.nodes[k].get("missing")}
+        return sorted(found, key=self._at.__getitem__)
 
     @staticmethod
     def _same(a: dict, b: dict) -> str:
@@ -74,7 +96,8 @@ class Fold:
         for e in incoming:
             e = {"class": e.get("class"), "label": e.get("label"), "data": {p: sorted(map(str, v)) for p, v in e.get("data", {}).items()}, "key": e["key"]}
             found, close = None, []
-            for k, node in self.nodes.items():
+            for k in self._candidates(e):
+                node = self.nodes[k]
                 if node.get("missing") and node["key"] == e["key"]:
                     found = k
                     break
@@ -87,6 +110,7 @@ class Fold:
             if found is None:
                 found = node_id(session, turn, e["key"])
                 self.nodes[found] = {**e, "missing": False}
+                self._listed(found)
             else:
                 node = self.nodes[found]
                 node["missing"] = False
@@ -94,22 +118,29 @@ class Fold:
                 for p, v in e["data"].items():
                     if p not in node["data"]:
                         node["data"][p] = v
+                        self._listed(found, {p: v})
                     elif node["data"][p] != v:
-                        node["data"].setdefault(f"{p} (conflict)", v)
+                        if f"{p} (conflict)" not in node["data"]:
+                            node["data"][f"{p} (conflict)"] = v
+                            self._listed(found, {f"{p} (conflict)": v})
                         self.conflicts.append([found, p, " | ".join(v)])
             self._edges((c, "closeMatch", found) for c in close)
             named[e["key"]] = found
         for source, prop, target in links:
             for end in (source, target):
                 if end not in named:
-                    held = next((k for k, n in self.nodes.items() if n["key"] == end), None)
+                    held = next(iter(self._by_key.get(end, ())), None)
                     named[end] = held or node_id(session, turn, end)
                     if held is None:
                         self.nodes[named[end]] = {"class": None, "label": None, "data": {}, "key": end, "missing": True}
+                        self._listed(named[end])
             self._edges([(named[source], "self" if named[source] == named[target] else prop, named[target])])
 
     def _edges(self, edges) -> None:
-        self.edges += [list(e) for e in edges if list(e) not in self.edges]
+        for e in edges:
+            if tuple(e) not in self._known:
+                self._known.add(tuple(e))
+                self.edges.append(list(e))
 
 
 FOLDED = "session string, nodes long, edges long, conflicts long, state string"

@@ -34,10 +34,10 @@ def name_entropy_informative(spark, d):
     return c.select("c_custkey", F.round(text.char_entropy(F.col("name")), 6).alias("entropy"), text.informative(F.col("c_name")).alias("informative"))
 
 
-def _pairs(spark, d):
+def _pairs(spark, d, names=lambda n: n):
     p = table(spark, d, "part")
     claims = F.create_map(F.lit("type"), F.array("p_type"), F.lit("brand"), F.array("p_brand"))
-    sides = p.select("p_partkey", F.array("p_name").alias("names"), claims.alias("claims"))
+    sides = p.select("p_partkey", names(F.array("p_name")).alias("names"), claims.alias("claims"))
     links = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").where("l_partkey <> l_suppkey").distinct()
     a = sides.select(F.col("p_partkey").alias("l_partkey"), F.col("names").alias("names_a"), F.col("claims").alias("claims_a"))
     b = sides.select(F.col("p_partkey").alias("l_suppkey"), F.col("names").alias("names_b"), F.col("claims").alias("claims_b"))
@@ -52,7 +52,7 @@ s AS (SELECT *, len(list_intersect(ga, gb))::DOUBLE / len(list_distinct(list_con
 x AS (SELECT l_partkey, l_suppkey, lower(na) = lower(nb) AND length(ba) >= 6 AND ha >= 1.5 AND t AND r AS agrees, j >= 0.9 AND length(longer) >= 6 AND hl >= 1.5 AS near FROM s)
 SELECT l_partkey, l_suppkey, CASE WHEN agrees OR near THEN 'same' ELSE 'unclear' END AS decision, CASE WHEN agrees THEN 'agreement' ELSE 'prefilter' END AS route FROM x""")
 def resolver_tiers(spark, d):
-    return identity.resolve(_pairs(spark, d), "names_a", "names_b", "claims_a", "claims_b").select("l_partkey", "l_suppkey", "decision", "route")
+    return identity.resolve(_pairs(spark, d, identity.evidence), "names_a", "names_b", "claims_a", "claims_b").select("l_partkey", "l_suppkey", "decision", "route")
 
 
 @query(f"WITH {_PAIRS} SELECT l_partkey, l_suppkey, CASE WHEN lower(na) = lower(nb) THEN 'same' ELSE 'different' END AS by_name, CASE WHEN t AND r THEN 'same' ELSE 'different' END AS by_property FROM p")

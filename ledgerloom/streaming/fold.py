@@ -15,15 +15,25 @@ OUT = "session string, turn long, nodes long, edges long, conflicts long"
 
 
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    graph, last = Fold(state.get[0] if state.exists else None), -1
-    turns = pd.concat(list(frames)).sort_values("turn", kind="stable")
-    for r in turns.itertuples(index=False):
-        graph.turn(str(key[0]), int(r.turn), json.loads(r.entities), [tuple(x) for x in json.loads(r.links)])
-        last = int(r.turn)
-    state.update((graph.state(),))
-    yield pd.DataFrame([(str(key[0]), last, len(graph.nodes), len(graph.edges), len(graph.conflicts))], columns=["session", "turn", "nodes", "edges", "conflicts"])
+    held, expected, waiting = state.get if state.exists else (None, 0, "[]")
+    graph = Fold(held)
+    pending = {int(t): (e, k) for t, e, k in json.loads(waiting)}
+    for frame in frames:
+        for r in frame.itertuples(index=False):
+            if int(r.turn) >= expected:
+                pending.setdefault(int(r.turn), (r.entities, r.links))
+    while expected in pending:
+        entities, links = pending.pop(expected)
+        graph.turn(str(key[0]), expected, json.loads(entities), [tuple(x) for x in json.loads(links)])
+        expected += 1
+    state.update((graph.state(), expected, json.dumps([[t, *x] for t, x in sorted(pending.items())])))
+    yield pd.DataFrame([(str(key[0]), expected - 1, len(graph.nodes), len(graph.edges), len(graph.conflicts))], columns=["session", "turn", "nodes", "edges", "conflicts"])
 
 
 def fold_stream(turns: DataFrame) -> DataFrame:
-    """Graph sizes of each session that a micro-batch touched; within a batch turns go in order."""
-    return turns.groupBy("session").applyInPandasWithState(_update, OUT, "state string", "update", GroupStateTimeout.NoTimeout)
+    """Graph sizes of each session that a micro-batch touched, after its last turn that could be folded (-1: none yet).
+
+    Turns number from 0 without gaps. One that comes early waits in the state for those before it, so the graph is that of the
+    batch fold however turns arrive; one that comes again is passed over.
+    """
+    return turns.groupBy("session").applyInPandasWithState(_update, OUT, "state string, expected long, waiting string", "update", GroupStateTimeout.NoTimeout)

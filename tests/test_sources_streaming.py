@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators import graph
 from ledgerloom.sources import harvest, records
 from ledgerloom.streaming import fold, log
 
@@ -98,3 +99,24 @@ def test_fold_stream_keeps_state(spark, tmp_path):
         q = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, n: sizes.extend(r["nodes"] for r in b.collect())).trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert sizes == [1, 2, 2]
+
+
+def test_fold_stream_waits_for_late_turns(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    turns = [json.dumps({"session": "s", "turn": t, "entities": json.dumps([{"key": k, "label": k, "data": {"name": [k], "at": [str(t)]}}]), "links": json.dumps([[k, "next", "x"]])}) + "\n" for t, k in enumerate("xyxz")]
+    sizes = []
+    for name, of in enumerate(([2], [0, 2], [1], [3, 1])):
+        (tmp_path / "in" / f"{name}.json").write_text("".join(turns[t] for t in of))
+        stream = fold.fold_stream(spark.readStream.schema("session string, turn long, entities string, links string").json(str(tmp_path / "in")))
+        stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, n: sizes.extend((r["turn"], r["nodes"], r["edges"]) for r in b.collect())).trigger(availableNow=True).start().awaitTermination(120)
+    batch = graph.fold_sessions(spark.createDataFrame([tuple(json.loads(t).values()) for t in turns], "session string, turn long, entities string, links string")).first()
+    assert [t for t, *_ in sizes] == [-1, 0, 2, 3] and sizes[-1][1:] == (batch["nodes"], batch["edges"])
+
+
+def test_folds_of_long_sessions_are_quick():
+    import time
+
+    g, begun = graph.Fold(), time.process_time()
+    for t in range(3000):
+        g.turn("s", t, [{"key": f"k{t}", "class": "C", "label": f"l{t}", "data": {"name": [f"n{t}"], "group": [str(t)]}}], [(f"k{t}", "after", f"k{t - 1}")] if t else [])
+    assert len(g.nodes) == 3000 and len(g.edges) == 2999 and time.process_time() - begun < 5
