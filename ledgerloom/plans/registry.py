@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import reports, corpora, matching, evidence, offers  # noqa: E402, F401, I001  they register themselves
+from . import reports, corpora, matching, evidence, offers, answers  # noqa: E402, F401, I001  they register themselves
