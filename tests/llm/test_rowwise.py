@@ -185,6 +185,60 @@ def test_html_names_and_forms_do_not_drop_the_prose(around):
     assert "Nice" not in ht.extract(f"<body><article><h1>T</h1>{p}</article>{comments * 40}</body>")
 
 
+PLAIN = "<body><div><div><a>Home</a></div><div><a>Sections</a></div><div><a>Contact</a></div></div><div>{0}</div><div><div>Read next</div><div><a>Some title</a></div><div><a>Another one</a></div></div><div>Imprint, 2020.</div></body>"
+
+
+def test_html_paths_choose_without_telling_tags_or_names(monkeypatch):
+    p = "".join(f"<p>{x}</p>" for x in SENTENCES)
+    own = f"<h2>Head</h2>{p}<ul><li>Item</ul>{p}"
+    text = "\n\n".join(["Head", *SENTENCES, "Item", *SENTENCES])
+    pages = [PLAIN.format(own), PLAIN.format(f"<div><span>{own}</span></div>"), f"<table><tr><td><a>Menu</a><td>{own}<td><a>Side</a></table>"]
+    assert [ht.extract(x) for x in pages] == [text] * 3
+    monkeypatch.setattr(ht, "path_scores", lambda nodes: dict.fromkeys((x.element.path for x in nodes if x.size), 1.0))
+    assert all(ht.extract(x) != text for x in pages)
+
+
+def test_html_path_scores_against_brute_force():
+    page = ht._Page("<div><a>Home</a><a>x</a></div><div><p>One, two. Three!</p><p>Four five.</p></div><div>six</div>")
+    nodes, length, marked = page.nodes, {}, {}
+    by_path = {}
+    for x in nodes:
+        by_path.setdefault(x.element.path, []).append(x.text)
+    for path, texts in by_path.items():
+        length[path] = sum(len("".join(t.split())) for t in texts) / len(texts)
+        marked[path] = (1 + sum(t.count(c) for t in texts for c in ".,!")) / len(texts)
+
+    def smooth(values, i):
+        w = {j: math.exp(-((i - j) ** 2) / 2) for j in range(max(0, i - 2), min(len(values), i + 3))}
+        return sum(values[j] * w[j] for j in w) / sum(w.values())
+
+    fused = [smooth([length[x.element.path] for x in nodes], i) * smooth([marked[x.element.path] for x in nodes], i) for i in range(len(nodes))]
+    want = {}
+    for path in by_path:
+        own = [(r, x.size) for r, x in zip(fused, nodes, strict=True) if x.element.path == path]
+        want[path] = min(sum(r * n for r, n in own) / sum(n for _, n in own), length[path] * marked[path])
+    got = ht.path_scores(nodes)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_html_heads_and_names_inside_an_article():
+    p = "".join(f"<p>{x}</p>" for x in SENTENCES)
+    for head in ("<header><h1>Title</h1></header>", '<div class="entry-header"><h1>Title</h1></div>', '<h1 class="banner">Title</h1>'):
+        assert ht.extract(f"<body><header><h1>Site</h1></header><article>{head}{p}</article><div class=header>Site</div></body>") == "\n\n".join(["Title", *SENTENCES])
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "deep, text. " * 9, "<div>" * 20_000 + "<p>deep, text, with words.</p></x>" * 20_000, "<div class=ad>" * 20_000 + "<p>deep, text, with words.</b>" * 20_000, "<ul><li>" * 20_000 + "<li>deep, text." * 20_000, "<p>" + "<span>" * 20_000 + "deep, text.<hr>" * 20_000, '<a title="x>' * 20_001])
+def test_html_takes_linear_time(page):
+    import time
+
+    def seconds(x):
+        begun = time.process_time()
+        ht.extract(x)
+        return time.process_time() - begun
+
+    assert seconds(page) < 15
+
+
 def test_html_of_the_tables_is_the_article(tables):
     import html
 
@@ -307,6 +361,38 @@ def test_counts_against_brute_force_and_edges(spark):
     assert out[0] == out[1] == 0 and len(out) == len(ODD) and all(out[i] > 0 for i in range(2, len(ODD)))
 
 
+def test_models_that_normalise_are_refused(monkeypatch):
+    real = sentencepiece.SentencePieceProcessor
+
+    class Folding(real):
+        def encode(self, text, *a, **k):
+            return super().encode(text.lower() if isinstance(text, str) else text, *a, **k)
+
+    pieces.load.cache_clear()
+    monkeypatch.setattr(pieces.sentencepiece, "SentencePieceProcessor", Folding)
+    with pytest.raises(ValueError, match="normalises"):
+        pieces.load(PIECES)
+    monkeypatch.undo()
+    pieces.load.cache_clear()
+    assert len(pieces.load(PIECES).names) == 32_000
+
+
+def test_codec_long_segments_and_models_without_byte_pieces(monkeypatch):
+    import dataclasses
+
+    v = pieces.load(PIECES)
+    whole = pcodec.Codec(v)
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdeinrst") for _ in range(6000))
+    monkeypatch.setattr(pcodec, "SPAN", 2048)
+    monkeypatch.setattr(pcodec, "INDEX_BYTES", 1024)
+    parted = pcodec.Codec(v)
+    assert parted.encode(long).tolist() == whole.encode(long).tolist() and parted.encode("ab " * 900).tolist() == whole.encode("ab " * 900).tolist()
+    monkeypatch.undo()
+    bare = pcodec.Codec(dataclasses.replace(v, byte_ids=None))
+    assert bare.encode("a \ue123\ue124é\ue125 b").tolist().count(v.unknown) == 2
+
+
 def test_codec_equals_the_library(texts):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     codec = pcodec.codec(PIECES)
