@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.text import surt, url_host
-from ..operators import catalogue
+from ..operators import catalogue, pages, pools
 from ..sources import crawl
 from .corpora import _HOST, _REST
 from .registry import query, table
@@ -61,11 +61,11 @@ def opaque_names(spark, d):
 SELECT page_id, host, CASE length(host) % 4 WHEN 0 THEN NOT starts_with(rest, '/en/') WHEN 1 THEN true ELSE false END AS allowed, CASE length(host) % 4 WHEN 0 THEN 7.0 ELSE 1.0 END::DOUBLE AS delay FROM u""")
 def crawl_permissions(spark, d):
     """Hosts that state rules and a delay, say that they have none, can't tell and won't tell."""
-    pages = table(spark, d, "pages").select("page_id", "url")
+    urls = table(spark, d, "pages").select("page_id", "url")
     kind = F.length("host") % 4
     status = F.when(kind == 0, 200).when(kind == 1, 404).when(kind == 2, 503).otherwise(403)
-    robots = pages.select(url_host(F.col("url")).alias("host")).distinct().select("host", status.alias("status"), F.lit("User-agent: *\nCrawl-delay: 7\nDisallow: /en/").alias("body"))
-    return crawl.permissions(pages, robots, "ledger").select("page_id", "host", "allowed", "delay")
+    robots = urls.select(url_host(F.col("url")).alias("host")).distinct().select("host", status.alias("status"), F.lit("User-agent: *\nCrawl-delay: 7\nDisallow: /en/").alias("body"))
+    return crawl.permissions(urls, robots, "ledger").select("page_id", "host", "allowed", "delay")
 
 
 _SURT = f"array_to_string(list_reverse(string_split(regexp_replace({_HOST}, '^www[0-9]*\\.', ''), '.')), ',') || ')' || CASE WHEN {_REST} = '' THEN '/' WHEN {_REST}[1] = '?' THEN '/' || {_REST} ELSE {_REST} END"
@@ -75,7 +75,58 @@ _SURT = f"array_to_string(list_reverse(string_split(regexp_replace({_HOST}, '^ww
 g AS (SELECT key, arg_min(off, (2024 - i, off)) AS off, arg_min(2024 - i, (2024 - i, off)) AS ts FROM l WHERE (page_id + i) % 3 <> 0 GROUP BY key)
 SELECT url, ts::VARCHAR AS timestamp, off::BIGINT AS "offset" FROM k JOIN g USING (key)""")
 def archive_captures(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "url")
+    urls = table(spark, d, "pages").select("page_id", "url")
     record = F.to_json(F.struct(F.when((F.col("page_id") + F.col("i")) % 3 != 0, "200").otherwise("404").alias("status"), F.lit("a.warc.gz").alias("filename"), (F.col("page_id") * 3 + F.col("i")).cast("string").alias("offset"), F.lit("10").alias("length")))
-    lines = pages.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(F.concat_ws(" ", surt(F.col("url")), (2024 - F.col("i")).cast("string"), record).alias("line"))
-    return crawl.captures(lines, pages).select("url", "timestamp", "offset")
+    lines = urls.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(F.concat_ws(" ", surt(F.col("url")), (2024 - F.col("i")).cast("string"), record).alias("line"))
+    return crawl.captures(lines, urls).select("url", "timestamp", "offset")
+
+
+def _slots(spark, d):
+    """Parts as slots: types are classes, brands slots; a third of them are enumerations of sizes."""
+    kind = F.element_at(F.array(*map(F.lit, ("text", "number", "enum", "date", "text"))), (F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") % 5 + 1))
+    rows = table(spark, d, "part").groupBy(F.col("p_type").alias("class"), F.col("p_brand").alias("slot"), kind.alias("kind")).agg(F.min("p_partkey").alias("ordinal"), F.array_sort(F.collect_set(F.when(F.col("p_size") % 10 == 0, F.col("p_size").cast("string")))).alias("choices"))
+    return rows.withColumn("own", F.col("ordinal") % 2 == 0).withColumn("choices", F.when(F.col("kind") == "enum", F.col("choices")))
+
+
+_SLOTS = """s AS (SELECT p_type AS class, p_brand AS slot, (['text', 'number', 'enum', 'date', 'text'])[CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) % 5 + 1] AS kind, min(p_partkey) AS ordinal, list(DISTINCT p_size::VARCHAR) FILTER (WHERE p_size % 10 = 0) AS choices FROM part GROUP BY 1, 2, 3),
+l AS (SELECT * FROM s WHERE ordinal % 2 = 0 QUALIFY row_number() OVER (PARTITION BY class ORDER BY ordinal, slot) <= 20)"""
+
+
+@query(f"""WITH {_SLOTS}, e AS (SELECT class, slot, coalesce(choices, []) AS c FROM l WHERE kind = 'enum')
+SELECT class, slot FROM l a WHERE kind <> 'enum' AND (SELECT count(*) FROM l b WHERE b.class = a.class AND b.kind = a.kind) = 1
+UNION ALL SELECT class, slot FROM e a WHERE len(c) > 0 AND NOT EXISTS (SELECT 1 FROM e b WHERE b.class = a.class AND b.slot <> a.slot AND len(list_intersect(a.c, b.c)) > 0)""")
+def legible_slots(spark, d):
+    return pools.legible(_slots(spark, d), F.col("kind")).select("class", "slot")
+
+
+@query(f"WITH {_SLOTS} SELECT class, count(*) FILTER (WHERE ordinal % 2 = 0) AS own_slots FROM s GROUP BY 1 HAVING count(*) FILTER (WHERE ordinal % 2 = 0) >= 8")
+def describable_classes(spark, d):
+    return pools.describable(_slots(spark, d), 8)
+
+
+@query("""WITH r AS (SELECT n_name AS class, r_name AS target, n_nationkey AS k FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT DISTINCT target AS class FROM r WHERE k % 2 = 0 AND target NOT IN (SELECT target FROM r WHERE k IN (1, 3))""")
+def value_objects(spark, d):
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    both = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    kind = F.when(F.col("n_nationkey") % 2 == 0, "nested").when(F.col("n_nationkey").isin(1, 3), "link").otherwise("neither")
+    return pools.value_objects(both.select(F.col("n_name").alias("class"), kind.alias("kind"), F.col("r_name").alias("target")), region.select(F.col("r_name").alias("class")))
+
+
+_NUMBERED = "regexp_matches(text, '(^|[^0-9])' || (doc_id % 40)::VARCHAR || '([^0-9]|$)')"
+
+
+@query(rf"""SELECT doc_id, 'sku' AS property, {_NUMBERED} AS stated FROM documents UNION ALL SELECT doc_id, 'pair', contains(lower(translate(regexp_replace(text, '\s+', '', 'g'), '-_', '')), 'theof') AND {_NUMBERED} FROM documents""")
+def page_fields(spark, d):
+    """Markup made for each document: a number, a list of a number and a phrase, and keys that don't count."""
+    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).cast("string").alias("n"))
+    node = F.concat(F.lit('{"@type": "Thing", "schema:sku": "'), F.col("n"), F.lit('", "https://schema.org/pair": [{"@type": "X", "name": "the of"}, '), F.col("n"), F.lit('], "image": "a.png", "flag": true, "empty": [null]}'))
+    rows = docs.select("doc_id", node.alias("node"), "text")
+    return pages.stated_fields(rows, ["doc_id"], "node", "text", ("image",)).select("doc_id", "property", "stated")
+
+
+@query("""WITH j AS (SELECT doc_id, lang, CASE WHEN n_chars < 120 THEN 'short' WHEN source = 'src3' THEN 'source' END AS reason FROM documents), k AS (SELECT *, count(*) FILTER (WHERE reason IS NULL) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM j)
+SELECT doc_id, lang, reason FROM k WHERE kept < 60 OR kept = 60 AND reason IS NULL""")
+def admitted_pages(spark, d):
+    reason = F.when(F.col("n_chars") < 120, "short").when(F.col("source") == "src3", "source")
+    return pages.admitted(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), reason, "lang", ["doc_id"], 60).select("doc_id", "lang", "reason")
