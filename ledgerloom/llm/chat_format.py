@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
+from .common import slices, table
 from .token_files import byte_bpe
 
 #: Tokens after which a pack is closed; the next conversation then starts another, with its shared turns again.
@@ -96,17 +96,17 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Pack:
-    def __init__(self, bpe):
-        self.bpe, self.size, self.tokens, self.positions, self.nodes, self.conversations = bpe, 0, [], [], [], []
+    def __init__(self):
+        self.size, self.tokens, self.positions, self.nodes, self.conversations = 0, [], [], [], []
         self.stack: list[tuple[str, str, int]] = []  # the last conversation's turns and their nodes
 
-    def add(self, conv, roles: list[str], texts: list[str]) -> None:
+    def add(self, conv, roles: list[str], texts: list[str], ids_of: dict[str, np.ndarray]) -> None:
         shared = 0
         while shared < min(len(roles), len(self.stack)) and self.stack[shared][:2] == (roles[shared], texts[shared]):
             shared += 1
         del self.stack[shared:]
         for role, text in zip(roles[shared:], texts[shared:], strict=True):
-            parts = [self.bpe.encode(x) for x in (header(role), escape(text), END)]
+            parts = [ids_of[x] for x in (header(role), escape(text), END)]
             n = [len(p) for p in parts]
             parent = self.stack[-1][2] if self.stack else -1
             above = self.nodes[parent] if parent >= 0 else None
@@ -138,20 +138,29 @@ def _packer(tokenizer: str, pack_tokens: int):
         from pyspark import TaskContext
 
         bpe, part, seq = byte_bpe(tokenizer), TaskContext.get().partitionId(), 0
-        pack = _Pack(bpe)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                conv, _, roles, texts = (batch.column(c)[i].as_py() for c in range(4))
-                pack.add(conv, roles, texts)
-                if pack.size >= pack_tokens:
-                    yield pack.batch(f"{part}-{seq}")
-                    pack, seq = _Pack(bpe), seq + 1
+        pack = _Pack()
+        for whole in batches:
+            for batch in slices(whole, ["texts"]):
+                convs, roles, texts = (batch.column(c).to_pylist() for c in ("conv_id", "roles", "texts"))
+                ids_of = _encoded(bpe, {END, *(header(r) for x in roles for r in x), *(escape(t) for x in texts for t in x)})
+                for conv, said_by, said in zip(convs, roles, texts, strict=True):
+                    pack.add(conv, said_by, said, ids_of)
+                    if pack.size >= pack_tokens:
+                        yield pack.batch(f"{part}-{seq}")
+                        pack, seq = _Pack(), seq + 1
         if pack.conversations:
             yield pack.batch(f"{part}-{seq}")
 
     return run
 
 
+def _encoded(bpe, distinct: set[str]) -> dict[str, np.ndarray]:
+    """Ids of distinct texts, all encoded as one column."""
+    names = list(distinct)
+    ids, many = bpe.encode_column(pa.array([x.encode("utf-8", "surrogatepass") for x in names], pa.binary()))
+    return dict(zip(names, np.split(ids, np.cumsum(many)[:-1]), strict=True))
+
+
 def pack_conversations(turns: DataFrame, tokenizer: str, pack_tokens: int = PACK_TOKENS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Packs of depth-first token sequences, as PACKS; every conversation is in one pack.
 
@@ -179,20 +188,21 @@ def read_packs(packs: DataFrame, tokenizer: str, digest=None, schema: str = READ
     fields = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = byte_bpe(tokenizer).decode
+        bpe = byte_bpe(tokenizer)
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = batch.column(1)[i].values.to_numpy()
-                nodes, conversations = batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
-                texts = [decode(ids[x["start"] : x["end"]]) for x in nodes]
-                losses = [decode(ids[x["text_start"] : x["text_end"]]) if x["loss"] else None for x in nodes]
+                tokens = bpe.bytes_of[batch.column(1)[i].values.to_numpy()]
+                nodes, conversations = batch.column(3)[i].values, batch.column(4)[i].values
+                parent, start, text_start, text_end, end, loss = (nodes.field(f).to_pylist() for f in ("parent", "start", "text_start", "text_end", "end", "loss"))
+                texts = [b"".join(tokens[a:b]).decode("utf-8", "replace") for a, b in zip(start, end, strict=True)]
+                losses = [b"".join(tokens[a:b]).decode("utf-8", "replace") if x else None for a, b, x in zip(text_start, text_end, loss, strict=True)]
                 rows = []
-                for c in conversations:
-                    path, at = [], c["node"]
+                for conv, at in zip(conversations.field("conv_id").to_pylist(), conversations.field("node").to_pylist(), strict=True):
+                    path = []
                     while at >= 0:
                         path.append(at)
-                        at = nodes[at]["parent"]
-                    found = (c["conv_id"], "".join(texts[k] for k in reversed(path)), [losses[k] for k in reversed(path) if losses[k] is not None])
+                        at = parent[at]
+                    found = (conv, "".join(texts[k] for k in reversed(path)), [losses[k] for k in reversed(path) if losses[k] is not None])
                     rows.append(digest(*found) if digest else found)
                     if len(rows) >= 256:
                         yield _rows(rows, fields)

@@ -11,6 +11,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -162,9 +163,22 @@ class ByteBpe:
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_column(pa.array([text], pa.string()))[0]
 
+    @cached_property
+    def bytes_of(self) -> np.ndarray:
+        """The bytes of each id: its spelling's letters in the alphabet's order, or a special token as it is written."""
+        letters = {chr(c): bytes((b,)) for b, c in enumerate(_alphabet())}
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        out = np.full(self.tokenizer.get_vocab_size(with_added_tokens=True), b"", object)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            out[i] = token.content.encode()
+        for name, i in names.items():
+            if all(c in letters for c in name):
+                out[i] = b"".join(letters[c] for c in name)
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids that `encode` gave."""
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        return b"".join(self.bytes_of[ids].tolist()).decode("utf-8", "replace")
 
 
 def byte_bpe(path: str) -> ByteBpe:
