@@ -99,3 +99,12 @@ MIN_NAME, MIN_ENTROPY = 6, 1.5
 def informative(c: Column) -> Column:
     telling = lambda name: (F.length(name) >= MIN_NAME) & (char_entropy(name) >= MIN_ENTROPY)
     return F.element_at(F.transform(F.array(bare_name(c)), telling), 1)
+
+
+def canonical_json(*columns: str) -> Column:
+    """The columns as one JSON object, names sorted, null fields kept: the same text for the same values."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def content_hash(*columns: str) -> Column:
+    return F.sha2(canonical_json(*columns), 256)

@@ -40,6 +40,28 @@ def runner_key() -> Column:
     return F.concat_ws("/", *parts)
 
 
+# What an arm was called before its name said what it carries and enforces
+FORMER_ARMS = {
+    "A0-prose": "no-catalog-not-enforced-prose", "A0-json": "no-catalog-not-enforced", "A1": "schema-dump-catalog-not-enforced-gated", "A1-lean": "catalog-not-enforced-gated",
+    "A2": "schema-dump-catalog-flat-enforced", "A2-strict": "schema-dump-catalog-flat-enforced-strict", "A2-enforced-only": "catalog-flat-enforced", "A3": "schema-dump-catalog-flat-enforced-grounded",
+    "A4": "schema-dump-catalog-enforced", "A4-strict": "schema-dump-catalog-enforced-strict", "A4-enforced-only": "catalog-enforced", "A4-blind": "no-catalog-enforced",
+}
+_ARM = "^(schema-dump-catalog|no-catalog|catalog)-+(not-enforced|flat-enforced|enforced)((?:-.*)?)$"
+
+
+def published_name(arm: Column, described: Column, embedded: Column) -> Column:
+    """The context and the enforcement that an arm names, resolved by whether classes are described and entities embedded.
+
+    An arm that doesn't name both is an error: a default would call a constrained cell unconstrained.
+    """
+    name = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in FORMER_ARMS.items() for x in pair)), arm), arm)
+    context, accepts, rest = (F.regexp_extract(name, _ARM, i) for i in (1, 2, 3))
+    told = F.when(context != "catalog", context).when(F.coalesce(described, F.lit(False)), "schema-prose-full-catalog").otherwise("schema-prose-catalog")
+    label = F.concat(told, F.lit("-"), accepts, rest, F.when(F.coalesce(embedded, F.lit(False)), "-embedded").otherwise(""))
+    bad = F.raise_error(F.concat(F.lit("arm names no context and enforcement: "), F.coalesce(arm, F.lit("null")))).cast("string")
+    return F.when(F.coalesce(name, F.lit("")).rlike(_ARM), label).otherwise(bad)
+
+
 def differing(declared: str, actual: str) -> Column:
     """Sorted names that two maps of settings give different values, or that only one has."""
     names = F.array_union(F.map_keys(declared), F.map_keys(actual))

@@ -145,6 +145,25 @@ def guessable(values: DataFrame, cls: str, prop: str, value: str, class_floor: i
     return best.join(per_class, cls).where((F.col("_all") >= class_floor) & (F.col("stated") >= statement_floor)).select(cls, prop, "stated", "commonest", ratio(F.col("commonest"), F.col("stated")).alias("share"))
 
 
+def least_telling(shares: DataFrame, cls: str, prop: str) -> DataFrame:
+    """For each property the class in which its commonest value says most about it (ties: the first by name)."""
+    best = F.struct("share", (-F.row_number().over(_by_name(prop, cls))).alias("_first"))
+    ranked = shares.withColumn("_best", best)
+    return ranked.groupBy(prop).agg(F.max_by(cls, "_best").alias(cls), F.max("share").alias("share"))
+
+
+def _by_name(prop: str, cls: str):
+    from pyspark.sql import Window as W
+
+    return W.partitionBy(prop).orderBy(cls)
+
+
+def class_errors(rows: DataFrame, expected: str, produced: str, k: int = 10) -> DataFrame:
+    """The k commonest pairs of an expected class and another that was produced; ties by name."""
+    wrong = rows.where(F.col(expected).isNotNull() & F.col(produced).isNotNull() & (F.col(expected) != F.col(produced)))
+    return wrong.groupBy(expected, produced).agg(F.count("*").alias("n")).orderBy(F.desc("n"), expected, produced).limit(k)
+
+
 def accounting(rows: DataFrame, reason: Column, by: list[str]) -> DataFrame:
     """In = resolved + excluded by reason, in each group; `closes` says whether it adds up."""
     judged = rows.withColumn("_reason", reason)

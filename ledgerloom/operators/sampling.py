@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cap_per_group(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
@@ -110,6 +112,20 @@ def capped_values(df: DataFrame, group: str, key: str, facts: str, room: int) ->
     return df.repartition(n, group).sortWithinPartitions(group, key).mapInPandas(walk, schema)
 
 
+#: Keys that a seeded sample is drawn from at most: they are sorted on the driver, so that the draw is the same anywhere.
+MAX_DRAWN = 5_000_000
+
+
+def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
+    """n rows by a seeded draw from the sorted distinct keys (all, if there are no more). Over MAX_DRAWN keys are an error."""
+    keys = [r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().limit(MAX_DRAWN + 1).collect()]
+    if len(keys) > MAX_DRAWN:
+        raise ValueError(f"over {MAX_DRAWN} keys to draw from")
+    chosen = random.Random(seed).sample(sorted(keys), min(n, len(keys)))
+    drawn = df.sparkSession.createDataFrame([(k,) for k in chosen], T.StructType([df.schema[key]]))
+    return df.join(F.broadcast(drawn) if len(chosen) <= 100_000 else drawn, key, "left_semi")
+
+
 def split_halves(keys: DataFrame, key: str, seed: int, first: str = "train", second: str = "heldout") -> DataFrame:
     """Two disjoint halves by a seeded hash of the key: the same key is in the same half whatever else there is."""
     return keys.withColumn("half", F.when(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(2)) == 0, first).otherwise(second))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import content_hash
 from ..operators import conditions, joins, metrics, statements
 from .registry import query, table
 
@@ -220,8 +221,7 @@ def published_projection(spark, d):
     from ..sources.records import publish
 
     c = table(spark, d, "customer")
-    canonical = F.to_json(F.struct("c_mktsegment", "c_nationkey"))
-    return publish(c.withColumn("config_hash", F.sha2(canonical, 256)), ["c_custkey", "c_name", "config_hash"])
+    return publish(c.withColumn("config_hash", content_hash("c_nationkey", "c_mktsegment")), ["c_custkey", "c_name", "config_hash"])
 
 
 @query("SELECT sha256(c_name || 'seed') < '8' AS train, c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY 1, 2")
@@ -236,3 +236,38 @@ SELECT only_a, only_b, round(least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1)
 def paired_test(spark, d):
     out = metrics.mcnemar(table(spark, d, "labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b")), "a", "b")
     return out.withColumn("p_value", F.round("p_value", 9))
+
+
+@query(f"WITH {LEDGER} SELECT truth, decision, count(*) AS n FROM ledger WHERE truth <> decision GROUP BY truth, decision ORDER BY n DESC, truth, decision LIMIT 3")
+def class_errors(spark, d):
+    return metrics.class_errors(_ledger(spark, d), "truth", "decision", 3)
+
+
+@query("""WITH c AS (SELECT p_type, p_brand, p_name, count(*) AS n FROM part GROUP BY ALL), s AS (SELECT p_type, p_brand, sum(n)::BIGINT AS stated, max(n) AS commonest FROM c GROUP BY ALL),
+a AS (SELECT p_type, sum(stated) AS al FROM s GROUP BY p_type), g AS (SELECT p_type, p_brand, commonest::DOUBLE / stated AS share FROM s JOIN a USING (p_type) WHERE al >= 20 AND stated >= 2)
+SELECT p_brand, p_type, round(share, 6) AS share FROM g QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY share DESC, p_type) = 1""")
+def least_telling_classes(spark, d):
+    shares = metrics.guessable(table(spark, d, "part"), "p_type", "p_brand", "p_name", 20, 2)
+    return rounded(metrics.least_telling(shares, "p_type", "p_brand"), "share")
+
+
+_ARMS = ("A2", "A4-blind", "catalog-enforced", "catalog-not-enforced-gated", "schema-dump-catalog-flat-enforced-strict")
+
+
+@query(f"""WITH a AS (SELECT event_id, (['{"', '".join(_ARMS)}'])[event_id % {len(_ARMS)} + 1] AS arm, event_id % 2 = 0 AS described, event_id % 3 = 0 AS embedded FROM events)
+SELECT event_id, CASE arm WHEN 'A2' THEN 'schema-dump-catalog-flat-enforced' WHEN 'A4-blind' THEN 'no-catalog-enforced' WHEN 'schema-dump-catalog-flat-enforced-strict' THEN arm
+       ELSE CASE WHEN described THEN 'schema-prose-full-' ELSE 'schema-prose-' END || arm END || CASE WHEN embedded THEN '-embedded' ELSE '' END AS label FROM a""")
+def published_names(spark, d):
+    i = F.col("event_id")
+    arm = F.element_at(F.array(*map(F.lit, _ARMS)), (i % len(_ARMS) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", conditions.published_name(arm, i % 2 == 0, i % 3 == 0).alias("label"))
+
+
+@query("""WITH u AS (SELECT p_brand AS spelling, min(p_type) AS unit FROM part WHERE p_size <= 3 GROUP BY 1 HAVING count(DISTINCT p_type) = 1 UNION ALL SELECT p_type, p_type FROM part GROUP BY 1)
+SELECT p_partkey, coalesce(b.unit, t.unit) AS unit FROM part LEFT JOIN u b ON b.spelling = p_brand LEFT JOIN u t ON t.spelling = p_type""")
+def spelled_units(spark, d):
+    part = table(spark, d, "part")
+    named = joins.unambiguous(part.where("p_size <= 3").select(F.col("p_brand").alias("spelling"), F.col("p_type").alias("unit")), "spelling", "unit")
+    every = named.unionByName(part.select(F.col("p_type").alias("spelling"), F.col("p_type").alias("unit")).distinct())
+    forms = part.select("p_partkey", F.array("p_name", "p_brand", "p_type").alias("forms"))
+    return joins.first_spelling(forms, ["p_partkey"], "forms", every, "spelling", "unit")

@@ -165,3 +165,25 @@ def test_filters(spark):
     needles = spark.createDataFrame([(1, "abc"), (2, "ABC"), (3, "zz"), (4, None)], "k long, n string")
     texts = spark.createDataFrame([("xABCx abc",), ("none",), (None,)], "t string")
     assert {r["k"]: r["stated"] for r in filters.stated_counts(needles, "k", "n", texts, "t").collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_published_names_and_class_errors(spark):
+    from ledgerloom.operators import conditions
+
+    df = spark.createDataFrame([("A0-prose", True, False), ("catalog-flat-enforced-x", True, True), ("catalog-enforced", None, None), ("schema-dump-catalog-not-enforced", True, False)], "a string, d boolean, e boolean").coalesce(1)
+    assert [r[0] for r in df.select(conditions.published_name(F.col("a"), F.col("d"), F.col("e"))).collect()] == ["no-catalog-not-enforced-prose", "schema-prose-full-catalog-flat-enforced-x-embedded", "schema-prose-catalog-enforced", "schema-dump-catalog-not-enforced"]
+    for bad in ("catalog", "enforced", "catalog-enforcedly", None):
+        with pytest.raises(Exception, match="no context and enforcement"):
+            spark.createDataFrame([(bad,)], "a string").select(conditions.published_name(F.col("a"), F.lit(True), F.lit(True))).collect()
+    rows = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "a"), ("c", "d"), ("b", "d"), (None, "d")], "e string, p string")
+    assert [tuple(r) for r in metrics.class_errors(rows, "e", "p", 2).collect()] == [("a", "b", 2), ("b", "d", 1)]
+
+
+def test_seeded_samples_and_canonical_json(spark, monkeypatch):
+    df = spark.createDataFrame([(f"k{i % 50:02}", i) for i in range(100)] + [(None, 1)], "k string, v long")
+    drawn = {r["k"] for r in sampling.seeded_sample(df.repartition(7), "k", 3, 10).collect()}
+    assert drawn == set(random.Random(3).sample(sorted(f"k{i:02}" for i in range(50)), 10)) and sampling.seeded_sample(df, "k", 3, 999).count() == 100
+    monkeypatch.setattr(sampling, "MAX_DRAWN", 9)
+    with pytest.raises(ValueError, match="over 9 keys"):
+        sampling.seeded_sample(df, "k", 3, 1)
+    assert spark.createDataFrame([(None, 1)], "b string, a int").select(text.canonical_json("b", "a")).first()[0] == '{"a":1,"b":null}'
