@@ -55,7 +55,10 @@ _LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's URI under spark.checkpoint.dir. Without that setting, a temporary one in local mode and an error on a cluster."""
+    """A new folder's URI under spark.checkpoint.dir, seen by driver and executors alike; it goes when the driver's JVM ends.
+
+    Without that setting, a temporary one in local mode and an error on a cluster.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -63,7 +66,12 @@ def shared_folder(spark: SparkSession) -> str:
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
         base = _LOCAL[0]
-    return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return folder
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
