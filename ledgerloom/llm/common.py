@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import shared_folder, written
+
 #: Text bytes that a Python worker holds as objects at once; longer single texts go alone.
 SLICE_BYTES = 4 << 20
 
@@ -23,25 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI under the cluster's spark.checkpoint.dir, seen by driver and executors alike.
+    """A new folder's URI under the cluster's spark.checkpoint.dir, seen by driver and executors alike; it goes with the driver's JVM.
 
     Only where the setting is absent (tests, local mode) a temporary folder takes its place; on a cluster that is an error.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = _local_base()
-    return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
-
-
-_LOCAL: list[str] = []
-
-
-def _local_base() -> str:
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
-    return _LOCAL[0]
+    return shared_folder(spark)
 
 
 class Scratch:
@@ -51,9 +37,7 @@ class Scratch:
         self.spark, self.root = spark, shared_dir(spark)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return written(df, f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
