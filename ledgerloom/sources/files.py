@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import itertools
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -30,20 +32,15 @@ def zip_members(files: DataFrame, key: str, wanted: tuple[str, ...], content: st
 
 def unmarked(text: str, marks: tuple[str, ...]) -> tuple[str, list[tuple[str, int, int]]]:
     """(the text without its marks, (mark, start, end) of what stood between each pair); the longest mark at a place counts."""
-    plain, spans, opened, at, size = [], [], {}, 0, 0
-    order = sorted(marks, key=len, reverse=True)
-    while at < len(text):
-        mark = next((m for m in order if text.startswith(m, at)), None)
-        if mark is None:
-            plain.append(text[at])
-            at, size = at + 1, size + 1
-            continue
-        if mark in opened:
-            spans.append((mark, opened.pop(mark), size))
+    pieces = re.split("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")", text)  # every second one is a mark
+    places = list(itertools.accumulate(map(len, pieces[::2])))
+    spans, opened = [], {}
+    for mark, place in zip(pieces[1::2], places, strict=False):
+        if (start := opened.pop(mark, None)) is None:
+            opened[mark] = place
         else:
-            opened[mark] = size
-        at += len(mark)
-    return "".join(plain), spans
+            spans.append((mark, start, place))
+    return "".join(pieces[::2]), spans
 
 
 def annotated(df: DataFrame, key: str, text: str, marks: tuple[str, ...]) -> DataFrame:

@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import inheritance, joins
 
-_SCHEMA = "title string, description string, `x-oold-uuid` string, `x-oold-multilang-title` struct<en: string>, allOf array<struct<`$ref`: string>>, properties map<string, struct<enum: array<string>>>"
+_SCHEMA = "title string, description string, `{uuid}` string, `{titles}` struct<en: string>, allOf array<struct<`$ref`: string>>, properties map<string, struct<enum: array<string>>>"
 SUFFIX = ".schema.json"
 
 
-def read_schemas(spark: SparkSession, folder: str) -> DataFrame:
+def read_schemas(spark: SparkSession, folder: str, titles: str = "x-multilang-title", uuid: str = "x-uuid") -> DataFrame:
     """(name, label, description, uuid, parent, units) of each schema file; the last reference to another schema is the parent.
 
-    A schema without a title bears its file's name; units are its own enumeration, null without one.
+    `titles` and `uuid` are the keys under which the files keep labels by language and their identifier. A schema without a title
+    bears its file's name; units are its own enumeration, null without one.
     """
     files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{SUFFIX}").text(folder).select(F.col("value"), F.col("_metadata.file_name").alias("file"))
-    s = files.select("file", F.from_json("value", _SCHEMA).alias("s"))
+    s = files.select("file", F.from_json("value", _SCHEMA.format(titles=titles, uuid=uuid)).alias("s"))
     refs = F.filter(F.coalesce(F.transform("s.allOf", lambda x: x["$ref"]), F.array().cast("array<string>")), lambda r: r.endswith(SUFFIX))
     parent = F.try_element_at(refs, F.lit(-1))
     units = F.filter(F.try_element_at("s.properties", F.lit("unit"))["enum"], lambda u: u.isNotNull())
     return s.select(
-        F.coalesce("s.title", F.replace("file", F.lit(".json"), F.lit(""))).alias("name"), F.trim("s.`x-oold-multilang-title`.en").alias("label"), F.trim("s.description").alias("description"), F.col("s.`x-oold-uuid`").alias("uuid"),
+        F.coalesce("s.title", F.replace("file", F.lit(".json"), F.lit(""))).alias("name"), F.trim(f"s.`{titles}`.en").alias("label"), F.trim("s.description").alias("description"), F.col(f"s.`{uuid}`").alias("uuid"),
         F.replace(parent, F.lit(SUFFIX), F.lit("")).alias("parent"), F.when(F.size(units) > 0, units).alias("units"),
     )
 

@@ -15,11 +15,11 @@ def test_schema_folders_and_inherited_units(spark, tmp_path):
         (tmp_path / f"{name}.schema.json").write_text(json.dumps({"title": name, **more}))
 
     put("Length", properties={"unit": {"enum": ["meter", "inch"]}}, description=" How long. ")
-    put("Radius", allOf=[{"$ref": "Length.schema.json"}], **{"x-oold-multilang-title": {"en": "radius"}})
+    put("Radius", allOf=[{"$ref": "Length.schema.json"}], **{"y-titles": {"en": "radius"}})
     put("Loop", allOf=[{"$ref": "Loop.schema.json"}])
     (tmp_path / "Bare.schema.json").write_text("{}")
     (tmp_path / "other.json").write_text('{"title": "no"}')
-    rows = {r["name"]: r for r in vocabulary.effective_units(vocabulary.read_schemas(spark, str(tmp_path))).collect()}
+    rows = {r["name"]: r for r in vocabulary.effective_units(vocabulary.read_schemas(spark, str(tmp_path), titles="y-titles")).collect()}
     assert set(rows) == {"Length", "Radius", "Loop", "Bare.schema"} and rows["Length"]["description"] == "How long." and rows["Radius"]["label"] == "radius"
     assert rows["Radius"]["parent"] == "Length" and rows["Radius"]["units"] is None and rows["Radius"]["effective"] == ["meter", "inch"] and rows["Loop"]["effective"] is None
 
