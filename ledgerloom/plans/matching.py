@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import extraction, generate, graph, identity, metrics, scoring
+from .answers import tasks as part_tasks
 from .registry import query, table
 
 _BARE = "lower(trim(regexp_replace(regexp_replace({0}, '[^\\w\\s]+', ' ', 'g'), '\\s+', ' ', 'g')))"
@@ -76,10 +77,11 @@ def html_text(spark, d):
     return extraction.pages_to_entities(table(spark, d, "pages").select("page_id", "html"), "page_id", "html").where("syntax = 'text'").select("page_id", F.length("content").alias("chars"), "licence", "errors")
 
 
-@query(None)
+@query("SELECT 'Q' || p_partkey::VARCHAR AS task_id, 'e1' AS entity, 'value' AS property, p_size::DOUBLE AS magnitude, 'meter' AS unit FROM part WHERE p_partkey % 7 <> 0")
 def prose_measurements(spark, d):
-    docs = generate.documents(spark, 0, 500).select("task_id", "document")
-    return extraction.answers_to_triples(docs, "task_id", "document", prose=True).where("kind = 'triple'").select("task_id", "entity", "property", "magnitude", "unit")
+    """Measurements read out of a sentence on each part; those that say no unit give none."""
+    rows = extraction.answers_to_triples(part_tasks(spark, d).select("task_id", "document"), "task_id", "document", prose=True)
+    return rows.where("kind = 'triple'").select("task_id", "entity", "property", "magnitude", "unit")
 
 
 @query(None)
@@ -93,7 +95,10 @@ def score_task(spark, d):
     return out.withColumns(metrics.prf())
 
 
-@query(None)
+@query("""WITH c AS (SELECT conv_id, turn, role, text, min(turn) OVER (PARTITION BY conv_id, role, text) AS f FROM conversations),
+e AS (SELECT c.conv_id, c.f AS src, CASE WHEN p.f = p.turn THEN 'm' ELSE 'missing ' END || (c.turn - 1)::VARCHAR AS tgt FROM c LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 WHERE c.turn > 0)
+SELECT conv_id::VARCHAR AS session, count(DISTINCT (role, text)) + coalesce(any_value(missing), 0) AS nodes, coalesce(any_value(edges), 0) AS edges, 0::BIGINT AS conflicts
+FROM c LEFT JOIN (SELECT conv_id, count(DISTINCT tgt) FILTER (WHERE starts_with(tgt, 'missing')) AS missing, count(DISTINCT (src, tgt)) AS edges FROM e GROUP BY conv_id) USING (conv_id) GROUP BY conv_id""")
 def graph_fold(spark, d):
     c = table(spark, d, "conversations")
     entity = F.struct(F.concat(F.lit("m"), F.col("turn").cast("string")).alias("key"), F.col("role").alias("class"), F.lit(None).cast("string").alias("label"), F.create_map(F.lit("name"), F.array("text")).alias("data"))
