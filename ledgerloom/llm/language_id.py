@@ -121,7 +121,7 @@ def _counted(many: np.ndarray) -> np.ndarray:
 def words_in(texts: list[str]) -> Words:
     """The words of many texts at once, as words_of gives them."""
     joined = "\n".join(texts).lower()
-    if joined.count("\n") != len(texts) - 1:
+    if joined.count("\n") != max(0, len(texts) - 1):
         raise ValueError("texts hold line feeds")
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     kind = _kinds()[codes]
