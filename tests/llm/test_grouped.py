@@ -173,6 +173,29 @@ def test_near_duplicates_equal_sql(spark, tables):
     same(near_dedup.op8_minhash_near_dedup(spark, SF), tables, near_dedup.ORACLE_SQL)
 
 
+def test_rows_of_a_large_family_are_copied_in_proportion(spark):
+    from pyspark.sql import functions as F
+
+    def copies(rest, size):
+        rows = spark.range(size).select(F.lit(1).alias("bucket"), F.col("id").alias("node"), F.lit(size).alias("total"), F.lit(rest).alias("rest_total"), (F.col("id") < rest).alias("rest"))
+        dealt = near_dedup._dealt(rows, "one", 4096)
+        blocks = dealt.groupBy("x", "y").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        return dealt.count(), blocks
+
+    assert copies(10, 20_000)[0] == 19_990 + 10 * 6 and copies(10, 40_000)[0] == 39_990 + 10 * 11 and copies(0, 20_000)[0] == 0
+    everything, largest = copies(20_000, 20_000)
+    assert everything == 20_000 * 5 and largest < 3 * 4096
+
+
+def test_a_large_family_is_one_component(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 2000)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join([*base, f"x{i}"])) for i in range(400)] + [(1000 + i, " ".join([*base[:30], *(f"y{i}a{j}" for j in range(40))])) for i in range(40)]
+    out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 85).collect()}
+    assert all(out[i] == 0 for i in range(400)) and all(out[1000 + i] == 1000 + i for i in range(40))
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = np.random.default_rng(5)
     for share in (0.8, 0.9, 0.97):
