@@ -80,9 +80,15 @@ def both_known(links: DataFrame, source: str, target: str, known: DataFrame, key
     return found.join(ends.withColumnRenamed(key, target), target, "left_semi")
 
 
+def owners(spellings: DataFrame, spelling: str, unit: str) -> DataFrame:
+    """For each spelling how many units it names (`owners`), and the unit if it is the only one."""
+    out = spellings.groupBy(spelling).agg(F.min(unit).alias(unit), F.count_distinct(unit).alias("owners"))
+    return out.withColumn(unit, F.when(F.col("owners") == 1, F.col(unit)))
+
+
 def unambiguous(spellings: DataFrame, spelling: str, unit: str) -> DataFrame:
     """Spellings that name one unit only."""
-    return spellings.groupBy(spelling).agg(F.min(unit).alias(unit), F.count_distinct(unit).alias("_n")).where("_n = 1").drop("_n")
+    return owners(spellings, spelling, unit).where("owners = 1").drop("owners")
 
 
 def first_spelling(rows: DataFrame, key: list[str], forms: str, spellings: DataFrame, spelling: str, unit: str) -> DataFrame:

@@ -85,7 +85,7 @@ def used_properties(observed: DataFrame, cls: str, instance: str, prop: str, usa
 
 
 def distinct_sets(rows: DataFrame, key: str, member: str) -> DataFrame:
-    """The sorted distinct members of each key."""
+    """The sorted distinct members of each key: sets of a vocabulary, of which one key's are held at once."""
     return rows.where(F.col(member).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(member)).alias("members"))
 
 

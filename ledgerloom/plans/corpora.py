@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import filters, graph, joins, quality, sampling, statements
+from ..operators import filters, graph, joins, quality, sampling
 from .registry import query, table
 
 _BRAND_CAP = 5
@@ -220,9 +220,8 @@ def revision_neighbours(spark, d):
 @query("""WITH s AS (SELECT p_brand AS unit, p_type AS kind FROM part), u AS (SELECT kind FROM s GROUP BY kind), o AS (SELECT unit, count(DISTINCT kind) AS kinds, min(kind) AS kind FROM s GROUP BY unit)
 SELECT unit, kinds, CASE WHEN kinds = 1 THEN kind END AS only_kind FROM o""")
 def unit_owners(spark, d):
-    part = table(spark, d, "part").select(F.col("p_brand").alias("unit"), F.col("p_type").alias("kind"))
-    counts = statements.distinct_sets(part, "unit", "kind").select("unit", F.size("members").cast("long").alias("kinds"))
-    return counts.join(joins.unambiguous(part, "unit", "kind").withColumnRenamed("kind", "only_kind"), "unit", "left").select("unit", "kinds", "only_kind")
+    part = table(spark, d, "part").select(F.col("p_brand").alias("unit"), F.col("p_type").alias("only_kind"))
+    return joins.owners(part, "unit", "only_kind").select("unit", F.col("owners").alias("kinds"), "only_kind")
 
 
 @query("""WITH RECURSIVE p AS (SELECT p_type, p_partkey, ['brand=' || p_brand, 'size=' || p_size::VARCHAR] AS f, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i FROM part),
