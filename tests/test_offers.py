@@ -2,12 +2,15 @@ import io
 import json
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import names
 from ledgerloom.operators import catalogue
+from ledgerloom.plans import registry
 from ledgerloom.sources import crawl, files, vocabulary
+from tests.oracle import same
 
 
 def test_schema_folders_and_inherited_units(spark, tmp_path):
@@ -74,6 +77,16 @@ def test_catalogues(spark):
     assert [r[0] for r in nodes.select(catalogue.pruned(F.col("n"), ("text",))).collect()] == ['{"a": [{"b": 3}]}', None]
 
 
+def test_a_brand_that_needs_more_than_fits_has_no_catalogue(spark, tmp_path):
+    parts = [(f"Brand#{b}", size) for b, sizes in enumerate([[50] * 41 + [1] * 9, [1] * 30 + [50] * 40, [50] * 5 + [1] * 60, [50] * 40, [1] * 41, [50, 2]]) for size in sizes]
+    spark.createDataFrame([(i, b, size) for i, (b, size) in enumerate(parts)], "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    tables = duckdb.connect()
+    tables.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    found = registry.QUERIES["trimmed_catalogue"](spark, str(tmp_path))
+    same(found, tables, registry.ORACLE_SQL["trimmed_catalogue"])
+    assert sorted(r["task"] for r in found.collect()) == [f"Brand#{b}" for b in range(1, 6)]
+
+
 def test_names(spark):
     df = spark.createDataFrame([("Allocín é-rating", "Q1"), ("2nd name", "P7"), ("", "Q3"), (None, "Q4")], "label string, id string").coalesce(1)
     assert [r[0] for r in df.select(names.class_stem(F.col("label"), F.col("id"))).collect()] == ["AllocinERating", "2ndName", "Q3", "Q4"]
