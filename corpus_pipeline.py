@@ -6,7 +6,10 @@ documents, as they came. An empty table stays empty through all stages.
 
 from __future__ import annotations
 
+import itertools
+
 import public_tokenizers
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ MIN_SCORE = 0.5
 MIN_KNOWN, JUDGED_GRAMS = 0.6, 50
 #: A language is judged so if it has this many labelled texts and trigrams of them to judge by; where they themselves have fewer
 #: known, the bound is FLOOR of their lowest share (but for the lowest FEW of them).
-LABELLED, LABELLED_GRAMS, FLOOR, FEW = 20, 20_000, 0.8, 0.005
+LABELLED, LABELLED_GRAMS, FLOOR, FEW, SHARES = 20, 20_000, 0.8, 0.005, 1_000
 #: Shingle similarity of near-duplicates, in hundredths.
 PERCENT = 80
 
@@ -34,13 +37,14 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null or letterless text, or no language with MIN_SCORE of the likelihood, or a language
     that does not know MIN_KNOWN of the text's trigrams.
 
-    The model is fitted on a bounded sample of this stage's own labelled rows, language_id.TRAIN_DOCS. If none is labelled, no
-    language can be predicted and all documents with text stay.
+    The model is fitted on all of this stage's labelled rows, and the bounds are counted over all of them. If none is labelled,
+    no language can be predicted and all documents with text stay.
     """
     names = docs.columns
-    model = language_id.train(docs)
+    model = language_id.train(docs, max_docs=None)
     if not model.langs:
         return docs.where(F.col("text").isNotNull())
+    model = spark.sparkContext.broadcast(model)
     bounds = known_bounds(docs, model)
     hidden, names, back = _aside(docs)
     judged = language_id.identify(hidden, model, text_col=names["text"], counted=True)
@@ -49,12 +53,23 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE) & familiar).select(*back)
 
 
-def known_bounds(docs: DataFrame, model: language_id.Model) -> dict[str, float]:
-    """The least share of known trigrams for each language that can be judged, by the rows that the model is fitted on."""
-    found = language_id.identify(language_id.training_rows(docs), model, counted=True).where(f"lang = lang_pred and _grams >= {JUDGED_GRAMS}")
-    share = F.percentile_approx(F.col("_known") / F.col("_grams"), FEW).alias("share")
-    rows = found.groupBy("lang").agg(F.count("*").alias("n"), F.sum("_grams").alias("grams"), share).collect()  # a row for each learned language
-    return {r["lang"]: min(MIN_KNOWN, FLOOR * r["share"]) for r in rows if r["n"] >= LABELLED and r["grams"] >= LABELLED_GRAMS}
+def known_bounds(docs: DataFrame, model: language_id.Model | Broadcast) -> dict[str, float]:
+    """The least share of known trigrams for each language that can be judged, by all labelled rows.
+
+    The lowest share but for FEW of a language's rows is read off their counts by share, in steps of 1 / SHARES, rounded down.
+    """
+    found = language_id.identify(language_id.training_rows(docs, max_docs=None), model, counted=True).where(f"lang = lang_pred and _grams >= {JUDGED_GRAMS}")
+    step = F.floor(F.col("_known") * SHARES / F.col("_grams")).alias("step")
+    rows = found.groupBy("lang", step).agg(F.count("*").alias("n"), F.sum("_grams").alias("grams")).collect()  # SHARES + 1 rows at most for each learned language
+    bounds: dict[str, float] = {}
+    for lang in {r["lang"] for r in rows}:
+        steps = sorted((r["step"], r["n"], r["grams"]) for r in rows if r["lang"] == lang)
+        n = sum(x[1] for x in steps)
+        if n >= LABELLED and sum(x[2] for x in steps) >= LABELLED_GRAMS:
+            upto = itertools.accumulate(x[1] for x in steps)
+            lowest = next(x[0] for x, m in zip(steps, upto, strict=True) if m >= FEW * n)
+            bounds[lang] = min(MIN_KNOWN, FLOOR * lowest / SHARES)
+    return bounds
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

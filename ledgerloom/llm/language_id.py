@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -290,9 +291,11 @@ def _fitted(langs: list[str], counts: dict[int, list[np.ndarray]]) -> Model:
     return model
 
 
-def training_rows(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS) -> DataFrame:
+def training_rows(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int | None = TRAIN_DOCS) -> DataFrame:
     """(text, lang, id) of the rows that `train` fits on: all, or about max_docs by a hash of the id (without one, of the text)."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id")).where("text is not null and lang is not null")
+    if max_docs is None:
+        return rows
     langs = rows.groupBy("lang").count().collect()  # a row for each language
     if sum(r["count"] for r in langs) > max_docs:
         shares = _shares({r["lang"]: r["count"] for r in langs}, max_docs)
@@ -336,23 +339,22 @@ def _counted_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(np.full(size, n, np.int32)), pa.array(events.view(np.int64)), pa.array(count, pa.int64())], names=["lang", "n", "event", "count"])
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int | None = TRAIN_DOCS) -> Model:
     """Fit on rows with text and a language, and keep all words and n-grams that they hold.
 
     Above max_docs rows about max_docs are taken, of each language LEAST_DOCS at least; that bounds the model, of which the driver
-    gets a hash and a count for each event. All languages are learned. No usable row: a model without languages; a labelled text
+    gets a hash and a count for each event. None: all rows are, and the model grows with their distinct words. All languages are learned. No usable row: a model without languages; a labelled text
     without letters teaches its language's name alone.
     """
     rows = training_rows(labelled, text_col, lang_col, id_col, max_docs)
     counts = rows.select("text", "lang").mapInArrow(_counted_events, _COUNTS).groupBy("lang", "n", "event").agg(F.sum("count").alias("count"))
-    found = counts.toArrow().combine_chunks()
+    found = counts.toArrow()
     if not found.num_rows:
         return Model([])
-    coded = found.column("lang").combine_chunks().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    langs = sorted(names)
-    lang = np.array([langs.index(x) for x in names])[coded.indices.to_numpy()]
+    langs = sorted(pc.unique(found.column("lang")).to_pylist())
+    lang = pc.index_in(found.column("lang"), value_set=pa.array(langs, pa.string())).to_numpy()
     length, event, count = (found.column(c).to_numpy() for c in ("n", "event", "count"))
+    del found
     return _fitted(langs, {n: [event[length == n].view(np.uint64), lang[length == n], count[length == n]] for n in np.unique(length).tolist()})
 
 
@@ -391,16 +393,17 @@ class Predictor:
         return *out, *counts
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", counted: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model | Broadcast, text_col: str = "text", counted: bool = False) -> DataFrame:
     """Add lang_pred and score (the predicted language's share of the likelihood, 0 to 1); whole texts, no shuffle.
 
     `und` with score 0 for null, empty or letterless text, or when the model knows no language. A word none of whose letters the
     model knows adds nothing. Equal likelihoods: the first language by name. Repeated rows are judged each. Columns of docs
     called lang_pred or score are replaced.
     If counted, also _grams and _known: the text's n-grams of TELLING characters, and those of them that its language has.
+    A model for several calls can be broadcast once, before them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    limit = max(1 << 16, BATCH_BYTES * BATCH_LANGS // max(BATCH_LANGS, len(model.langs)))
+    shared = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
+    limit = max(1 << 16, BATCH_BYTES * BATCH_LANGS // max(BATCH_LANGS, len(shared.value.langs)))
     return append_columns(docs, _COUNTED if counted else _FIELDS, [text_col], lambda: Predictor(shared.value, counted), limit=limit, arrow=True)
 
 

@@ -1,5 +1,6 @@
 """The pipeline against a brute-force one, stage by stage."""
 
+import random
 import re
 
 import public_tokenizers
@@ -56,6 +57,19 @@ def test_languages_that_are_not_learned_are_dropped(spark):
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
+def test_the_language_model_learns_from_all_labelled_rows(spark):
+    count = language_id.TRAIN_DOCS + 1_000
+    text = lambda i: (lambda rng: " ".join("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3)) for _ in range(20)))(random.Random(i))
+    docs = spark.createDataFrame([(i, text(i), "zh", "s", 79) for i in range(count)], "doc_id long, text string, lang string, source string, n_chars long")
+    twins = docs.where("doc_id % 100 = 0").withColumns({"doc_id": -1 - F.col("doc_id"), "lang": F.lit(None).cast("string")})
+    strange = spark.createDataFrame([(count, text(count), None, "s", 79)], docs.schema)
+    kept = {r["doc_id"] for r in cp.languages(spark, docs.unionByName(twins).unionByName(strange), "").select("doc_id").collect()}
+    assert kept == {*range(count), *range(-1, -1 - count, -100)}
+    model = language_id.train(docs.where("doc_id < 30"), max_docs=None)
+    mixed = docs.where("doc_id < 50 or doc_id >= 200 and doc_id < 4000")
+    assert cp.known_bounds(mixed, model) == {"zh": 0.0} and cp.known_bounds(docs.where("doc_id < 30"), model) == {}
+
+
 def test_near_duplicates_keeps_different_texts_of_one_id(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
     rows = [(1, a), (2, a + " x"), (2, b), (2, c), (2, c), (None, c), (None, d), (None, d + " x"), (None, None), (3, "")]
