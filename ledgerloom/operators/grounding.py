@@ -5,6 +5,8 @@ All are column expressions, so a whole table is judged inside the JVM. A null va
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,19 +60,15 @@ def _amount(c: Column) -> Column:
     return F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
 
 
-def _renderings(value: Column) -> list[list[Column]]:
-    """Ways to write a duration, each as amounts of days, hours, minutes and seconds (null: not named)."""
-    stated = [F.regexp_extract(value, _DURATION, i + 1).try_cast("double") for i in range(len(DURATIONS))]
-    total = sum((F.coalesce(x, F.lit(0.0)) * s for x, (s, _) in zip(stated, DURATIONS.values(), strict=True)), F.lit(0.0))
-    carried, left = [], total
-    for s, _ in DURATIONS.values():
-        carried.append(F.nullif(F.floor(left / s).cast("double"), F.lit(0.0)))
-        left = left - F.floor(left / s) * s
-    single = []
-    for i, (s, _) in enumerate(DURATIONS.values()):
-        whole = F.when((total > 0) & (total / s == F.floor(total / s)), total / s)
-        single.append([whole if j == i else F.lit(None).cast("double") for j in range(len(DURATIONS))])
-    return [stated, carried, *single]
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once for each row, however often `use` names it, also within a branch."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _amount_stated(amount: Column, words: str, low: Column) -> Column:
+    """Whether the lower-case text has the amount and a word for its unit behind it; a pattern is built only where the amount occurs at all."""
+    pattern = F.concat(F.lit(r"(?s)(?<!\d)"), _plainly(amount), F.lit(rf"(?!\d).{{0,{DURATION_SPAN}}}?(?:{words})(?![a-z])"))
+    return F.contains(low, amount) & F.regexp_like(low, pattern)
 
 
 def duration_stated(value: Column, text: Column) -> Column:
@@ -78,15 +76,31 @@ def duration_stated(value: Column, text: Column) -> Column:
 
     All parts of one of these must be found: an amount, and a word for its unit within DURATION_SPAN characters behind it.
     """
-    low, found = F.lower(text), F.lit(False)
-    for parts in _renderings(F.trim(value)):
-        held, any_ = F.lit(True), F.lit(False)
-        for amount, (_, words) in zip(parts, DURATIONS.values(), strict=True):
-            pattern = F.concat(F.lit(r"(?s)(?<!\d)"), _plainly(_amount(amount)), F.lit(rf"(?!\d).{{0,{DURATION_SPAN}}}?(?:{words})(?![a-z])"))
-            held = held & F.when(amount.isNull(), True).otherwise(F.regexp_like(low, pattern))
-            any_ = any_ | amount.isNotNull()
-        found = found | (held & any_)
-    return found
+    v, units = F.trim(value), list(DURATIONS.values())
+
+    def all_stated(amounts: list[Column], low: Column) -> Column:
+        def judged(parts: Column) -> Column:
+            held = F.exists(parts, lambda amount: amount.isNotNull())
+            for i, (_, words) in enumerate(units):
+                amount = F.get(parts, F.lit(i))
+                held = held & (amount.isNull() | _amount_stated(amount, words, low))
+            return held
+
+        return _let(F.transform(F.array(*amounts), _amount), judged)
+
+    def any_way(low: Column, stated: Column, total: Column) -> Column:
+        left = [total, *(total % s for s, _ in units)]
+        found = all_stated([F.get(stated, F.lit(i)) for i in range(len(units))], low)
+        found = found | all_stated([F.nullif(F.floor(x / s).cast("double"), F.lit(0.0)) for x, (s, _) in zip(left, units, strict=False)], low)
+        for s, words in units:
+            single = total / s
+            found = found | ((total > 0) & (single == F.floor(single)) & _let(_amount(single), lambda amount: _amount_stated(amount, words, low)))  # noqa: B023  used at once
+        return found
+
+    groups = F.split(F.regexp_replace(v, _DURATION, "$1,$2,$3,$4"), ",")
+    stated = F.when(v.rlike(_DURATION), F.transform(groups, lambda x: F.when(x != "", x.try_cast("double"))))
+    total = lambda x: sum((F.coalesce(F.get(x, F.lit(i)), F.lit(0.0)) * s for i, (s, _) in enumerate(units)), F.lit(0.0))
+    return _let(F.lower(text), lambda low: _let(stated, lambda x: x.isNotNull() & _let(total(x), lambda t: any_way(low, x, t))))
 
 
 def grounded(value: Column, text: Column) -> Column:

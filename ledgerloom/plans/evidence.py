@@ -27,7 +27,8 @@ def duration_stated(spark, d):
     kind = F.col("event_id") % 4
     minutes = F.col("k").cast("string")
     text = F.when(kind == 0, F.concat(F.lit("Bake for "), minutes, F.lit(" to 900 mins."))).when(kind == 1, F.concat(F.lit("Ready in "), F.floor(F.col("k") / 60).cast("string"), F.lit(" hr "), (F.col("k") % 60).cast("string"), F.lit("minutes"))).when(kind == 2, F.concat(F.lit("About "), (F.col("k") + 1).cast("string"), F.lit("7 min"))).otherwise("It takes a while")
-    return e.select("event_id", grounding.grounded(F.concat(F.lit("PT"), minutes, F.lit("M")), text).alias("stated"))
+    pairs = e.select("event_id", F.concat(F.lit("PT"), minutes, F.lit("M")).alias("value"), text.alias("text"))
+    return pairs.select("event_id", grounding.grounded(F.col("value"), F.col("text")).alias("stated"))
 
 
 _FORMS = ("der", "les", "para", "the")

@@ -22,6 +22,16 @@ def test_numbers_durations_and_texts_are_grounded_by_their_shape(spark):
     assert judged(spark, G.grounded, *((v, t) for v, t, _ in cases)) == [x for *_, x in cases]
 
 
+def test_durations_are_read_once_for_each_row(spark):
+    cases = [
+        ("PT1.5H", "1.5 hours", True), ("PT1.5H", "1 h, 30 min", True), ("PT1.5H", "5400 secs", True), ("PT90S", "1.5 minutes", False), ("P1DT2H", "26 hours", True), ("P1DT2H", "1 day", False), ("P1DT2H", "1 day, 2 hrs", True),
+        ("PT0M", "0 min", True), ("PT0M", "0 hours", False), ("PT25M", "125 min", False), ("PT25M", "25" + "x" * 41 + "min", False), ("PT1500M", "1 d 1 h", True), ("PT25M", None, False),
+    ]
+    assert judged(spark, G.grounded, *((v, t) for v, t, _ in cases)) == [x for *_, x in cases]
+    plan = spark.createDataFrame([("PT5M", "5 min")], "v string, t string").select(G.grounded(F.col("v"), F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("T(?:(") <= 3  # the shape's test, the parts' test, the parts; a rendering reads none of them again
+
+
 def test_stated_forms_keep_word_bounds(spark):
     docs = spark.createDataFrame([("Albania and (Chinatown (1974 film)).",), ("A British–Austrian drama of August 5,  1930",), (None,), ("",)], "t string").coalesce(1)
     forms = F.array(F.lit("Al"), F.lit("Alba"), F.lit("chinatown (1974 film)"), F.lit("BRITISH"), F.lit("x"))
