@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,10 +173,29 @@ def accounting(rows: DataFrame, reason: Column, by: list[str]) -> DataFrame:
     return out.withColumn("closes", F.col("rows_in") == F.col("resolved") + F.col("excluded"))
 
 
+def _stirling_rest(x: Column) -> Column:
+    """What ln x! has beyond x ln x - x + ln(2 pi x) / 2, for x of 1 or more."""
+    plain = F.ln(F.factorial(F.least(x, F.lit(16.0)).cast("int")).cast("double")) - (x + 0.5) * F.ln(x) + x - math.log(2 * math.pi) / 2
+    y = 1 / (x * x)
+    series = (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y * (1 / 1188 - y * (691 / 360360)))))) / x
+    return F.when(x < 16, plain).otherwise(series)
+
+
 def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Exact two-sided McNemar test over paired yes/no outcomes: the discordant counts and the p-value, summed in log space."""
+    """Exact two-sided McNemar test over paired yes/no outcomes: the discordant counts and the p-value.
+
+    The tail is summed from its largest term, C(n, k) / 2^n, each next one being (k - j) / (n - k + j + 1) of the one before.
+    The j-th is exp(-j^2 / n) of the first at most, so those beyond 8 sqrt(n) (under 2e-28 each) leave a double sum as it is,
+    bit by bit; they are not formed. The largest one comes from its deviance and Stirling's series, without a difference of
+    large logarithms.
+    """
     counts = pairs.agg(F.count_if(F.col(a) & ~F.col(b)).alias("only_a"), F.count_if(~F.col(a) & F.col(b)).alias("only_b"))
-    n, k = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    log_fact = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1))), F.lit(0.0), lambda s, i: s + F.ln(i.cast("double")))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.lit(0.0), lambda s, i: s + F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * F.ln(F.lit(2.0))))
-    return counts.withColumn("p_value", F.least(F.lit(1.0), 2 * tail))
+    n, k = (F.col("only_a") + F.col("only_b")).cast("double"), F.least("only_a", "only_b").cast("double")
+    off = (n - 2 * k) / n
+    deviance = n / 2 * (2 * off * F.atanh(off) + F.log1p(-off * off))
+    inner = F.exp(_stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - deviance) * F.sqrt(n / (2 * math.pi) / k / (n - k))
+    largest = F.when(k == 0, F.pow(F.lit(2.0), -n)).otherwise(inner)
+    last = F.least(k, F.ceil(8 * F.sqrt(n)).cast("double")).cast("long")
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term"))
+    summed = F.aggregate(F.sequence(F.lit(0).cast("long"), last), start, lambda s, j: F.struct((s["sum"] + s["term"]).alias("sum"), (s["term"] * (k - j) / (n - k + j + 1)).alias("term")), lambda s: s["sum"])
+    return counts.withColumn("p_value", F.least(F.lit(1.0), 2 * largest * summed))

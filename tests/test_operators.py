@@ -1,4 +1,6 @@
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +189,24 @@ def test_seeded_samples_and_canonical_json(spark, monkeypatch):
     with pytest.raises(ValueError, match="over 9 keys"):
         sampling.seeded_sample(df, "k", 3, 1)
     assert spark.createDataFrame([(None, 1)], "b string, a int").select(text.canonical_json("b", "a")).first()[0] == '{"a":1,"b":null}'
+
+
+def test_paired_test_is_exact_and_grows_slowly(spark):
+    def exact(x, y):
+        n, k = x + y, min(x, y)
+        term = tail = math.comb(n, k)
+        for i in range(k, 0, -1):
+            term = term * i // (n - i + 1)
+            tail += term
+        return min(1.0, float(Fraction(2 * tail, 2**n)))
+
+    def tested(x, y):
+        rows = spark.range(x + y + 5).select((F.col("id") < x).alias("a"), ((F.col("id") >= x) & (F.col("id") < x + y)).alias("b"))
+        return tuple(metrics.mcnemar(rows, "a", "b").first())
+
+    for x, y in [(0, 0), (1, 0), (0, 5), (7, 7), (15, 2), (16, 31), (3, 60), (250, 200), (2000, 2090), (4900, 5200)]:
+        assert tested(x, y) == (x, y, pytest.approx(exact(x, y), rel=1e-12))
+    # a sum with three factorials for each term would take 10^11 steps; the normal approximation with its correction is within 1e-5 here
+    z = (600_000 - 598_000 - 1) / math.sqrt(1_198_000)
+    assert tested(598_000, 600_000)[2] == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-5)
+    assert tested(600_000, 600_000)[2] == 1.0 and tested(10_000, 600_000)[2] == 0.0
